@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import exact_dedup, mixing
+from lexigraph.llm import bpe, exact_dedup, mixing, secret_scan, token_count
 
 QUERIES = {
+    "op1_bpe_codec": bpe.op1_bpe_codec,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op9_token_count": token_count.op9_token_count,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
