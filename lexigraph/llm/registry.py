@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import bpe, exact_dedup, mixing, secret_scan, token_count
+from lexigraph.llm import bpe, chat, exact_dedup, gif, mixing, secret_scan, token_count
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
+    "op2_gif_media": gif.op2_gif_media,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_token_count": token_count.op9_token_count,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_chat_format": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
