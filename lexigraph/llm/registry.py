@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import bpe, chat, exact_dedup, gif, mixing, secret_scan, token_count
+from lexigraph.llm import bpe, chat, exact_dedup, gif, mixing, quality, secret_scan, token_count, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
     "op2_gif_media": gif.op2_gif_media,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_count": token_count.op9_token_count,
     "op10_mixing": mixing.op10_mixing,
 }
