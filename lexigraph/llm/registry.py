@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexigraph.llm import bpe, chat, exact_dedup, gif, mixing, quality, secret_scan, token_count, toxicity
+from lexigraph.llm import bpe, chat, exact_dedup, gif, jaccard_join, mixing, quality, secret_scan, token_count, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
     "op2_gif_media": gif.op2_gif_media,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_quality": quality.op6_quality,
     "op7_chat_format": chat.op7_chat_format,
