@@ -1,6 +1,304 @@
-"""Queries over the driver's tables, one per operator, each with its oracle SQL."""
+"""Queries over the driver's tables, one or more for each operator, each with its oracle SQL.
+
+The corpus is ``documents`` with doc_id as row id and title; the graph is ``lineitem`` from supplier to part.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexigraph.functions import text as T
+from lexigraph.functions.stemmer import stem_sql
+from lexigraph.operators import graph, index, linalg
+from lexigraph.sources import text as files
+from lexigraph.sources.scratch import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable:
+    """Register a query under its name, with its oracle."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Corpus
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
+
+
+STOP = ", ".join(f"('{w}')" for w in files.listed_words())
+#: Token counts, stems of tokens and stop words, and what is left with its document's length.
+TEXT_CTES = rf"""
+tokens as materialized (
+  select doc_id, token, count(*)::bigint as n
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) as token from documents) group by all
+),
+stop_words(word) as (values {STOP}),
+{stem_sql("select token from tokens union select word from stop_words")},
+stop_stems as (select distinct stem from stop_words join stems on word = token),
+kept as materialized (
+  select doc_id, lower(stem) as term, sum(n)::bigint as n
+  from tokens join stems using (token) where lower(stem) not in (select stem from stop_stems) group by all
+),
+lengths as (select doc_id, sum(n)::bigint as doc_len from kept group by doc_id),
+tf as materialized (select doc_id, term, n / doc_len::double as tf from kept join lengths using (doc_id)),
+idf as (
+  select term, df, ln((select count(*) from documents)::double / df) / ln(2.0::double) as idf
+  from (select term, count(*)::bigint as df from tf group by term)
+),
+weights as materialized (
+  select doc_id::varchar as title, term, round(tf * idf, 5) + 0.0 as weight from tf join idf using (term)
+)
+"""
+
+
+@query(r"""
+select doc_id, token, count(*)::bigint as n
+from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) as token from documents) group by all
+""")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.token_counts(corpus(spark, sf_dir)).select(F.col("row_id").alias("doc_id"), "token", "n")
+
+
+@query(f"with {TEXT_CTES} select distinct token, lower(stem) as stem from stems where token in (select token from tokens)")
+def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.token_terms(index.token_counts(corpus(spark, sf_dir))).withColumnRenamed("term", "stem")
+
+
+@query(f"with {TEXT_CTES} select doc_id, sum(n)::bigint as n_kept from kept group by doc_id")
+def stop_word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = index.term_counts(corpus(spark, sf_dir), files.stop_words(spark))
+    return kept.groupBy(F.col("row_id").alias("doc_id")).agg(F.sum("n").alias("n_kept"))
+
+
+@query(f"with {TEXT_CTES} select doc_id, term, n from kept")
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_counts(corpus(spark, sf_dir), files.stop_words(spark)).select(F.col("row_id").alias("doc_id"), "term", "n")
+
+
+@query(f"with {TEXT_CTES} select doc_id, doc_len from lengths")
+def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = index.term_counts(corpus(spark, sf_dir), files.stop_words(spark))
+    return index.document_lengths(counts).select(F.col("row_id").alias("doc_id"), "doc_len")
+
+
+@query(f"with {TEXT_CTES} select doc_id, term, round(tf, 9) as tf from tf")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.term_frequencies(index.term_counts(corpus(spark, sf_dir), files.stop_words(spark)))
+    return found.select(F.col("row_id").alias("doc_id"), "term", F.round("tf", 9).alias("tf"))
+
+
+@query("select count(*)::bigint as n_docs from documents")
+def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.corpus_size(table(spark, sf_dir, "documents"))
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.occurrences(corpus(spark, sf_dir), files.stop_words(spark), unique_titles=True)
+
+
+@query(f"with {TEXT_CTES} select term, df from idf")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles are taken as repeatable here: the last row of each counts."""
+    return index.document_frequencies(index.occurrences(corpus(spark, sf_dir), files.stop_words(spark)))
+
+
+@query(f"with {TEXT_CTES} select term, round(idf, 9) as idf from idf")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.with_idf(index.document_frequencies(_occurrences(spark, sf_dir)), table(spark, sf_dir, "documents"))
+    return found.select("term", F.round("idf", 9).alias("idf"))
+
+
+@query(f"with {TEXT_CTES} select title::bigint as doc_id, term, weight from weights")
+def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.weights(corpus(spark, sf_dir), files.stop_words(spark), unique_titles=True)
+    return found.select(F.col("title").cast("long").alias("doc_id"), "term", "weight")
+
+
+#: A weight as Java writes it: with an exponent below 0.001.
+WRITTEN = """case when k = 0 then '0.0' when k < 10 then k || '.0E-5' when k < 100 then (k // 10) || '.' || (k % 10) || 'E-4'
+ else weight::varchar end"""
+RENDERED = f"""{TEXT_CTES}, index as materialized (
+  select term, string_agg(title || ':' || {WRITTEN}, chr(9) order by weight desc, title) as postings
+  from (select *, round(weight * 100000)::bigint as k from weights) group by term
+)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.inverted_index(corpus(spark, sf_dir), files.stop_words(spark), unique_titles=True)
+
+
+@query(f"with {RENDERED} select term, postings from index")
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.index_lines(_index(spark, sf_dir)).withColumnRenamed("rendered", "postings")
+
+
+@query(f"with {TEXT_CTES} select term, count(*)::bigint as n_postings from weights group by term")
+def posting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.posting_stats(_index(spark, sf_dir))
+
+
+@query(f"with {TEXT_CTES} select term, title, weight from weights qualify row_number() over (partition by term order by weight desc, title) = 1")
+def top_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.top_postings(_index(spark, sf_dir))
+
+
+@query(f"with {TEXT_CTES} select term, title, weight from weights")
+def parse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered lines read back, a row per posting."""
+    lines = files.index_lines(_index(spark, sf_dir)).select(F.concat_ws("\t", "term", "rendered").alias("value"))
+    return files.parse_index(lines).select("term", F.inline("postings"))
+
+
+# Graph and matrix
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+def some_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines of small quantity: a graph with parallel edges that pruning takes in part."""
+    chosen = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") < 10) & (F.col("l_returnflag") == "R"))
+    return chosen.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+def supplier_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))
+
+
+MATRIX = """edges as (select l_suppkey as src, l_partkey as dst from lineitem),
+degrees as (select src, count(*)::bigint as out_deg from edges group by src),
+matrix as (select dst as i, src as j, 1.0::double / out_deg as a from edges join degrees using (src))"""
+PRODUCTS = f"""{MATRIX}, products as (
+  select i, j, coalesce(s_acctbal, 0.0) * a as b
+  from (select i, j, max(a) as a from matrix group by i, j) left join (select * from supplier where s_acctbal > 0) on s_suppkey = j
+)"""
+SOME = "e0 as materialized (select l_suppkey as src, l_partkey as dst from lineitem where l_quantity < 10 and l_returnflag = 'R')"
+
+
+@query(f"with {MATRIX} select i, j, round(a, 9) as m from matrix")
+def stochastic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stochastic_matrix(all_edges(spark, sf_dir)).select("i", "j", F.round("a", 9).alias("m"))
+
+
+@query(f"with {MATRIX} select j, round(sum(a), 6) as s from matrix group by j")
+def column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linalg.column_sums(graph.stochastic_matrix(all_edges(spark, sf_dir))).select("j", F.round("s", 6).alias("s"))
+
+
+@query(f"with {PRODUCTS} select i, j, round(b, 6) as b from products")
+def partial_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.partial_products(graph.stochastic_matrix(all_edges(spark, sf_dir)), supplier_vector(spark, sf_dir))
+    return found.select("i", "j", F.round("b", 6).alias("b"))
+
+
+@query(f"with {PRODUCTS} select i, round(sum(b), 5) as x from products group by i")
+def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), supplier_vector(spark, sf_dir))
+    return found.select("i", F.round("x", 5).alias("x"))
+
+
+@query(f"with {MATRIX}, summed as (select i, j, sum(a) as a from matrix group by i, j) select i, round(sum(coalesce(s_acctbal, 0.0) * a), 5) as x from summed left join (select * from supplier where s_acctbal > 0) on s_suppkey = j group by i")
+def matvec_summed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With parallel edges added up, so that no weight is lost."""
+    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), supplier_vector(spark, sf_dir), "sum")
+    return found.select("i", F.round("x", 5).alias("x"))
+
+
+@query(f"with {PRODUCTS} select round(sum(b), 3) as total from products")
+def vector_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), supplier_vector(spark, sf_dir))
+    return linalg.total(found).select(F.round("total", 3).alias("total"))
+
+
+@query(f"""with {SOME}, ends as (
+  select src as node, 0 as i, 1 as o from e0 union all select dst, 1, 0 from e0
+) select node, sum(i)::bigint as in_deg, sum(o)::bigint as out_deg from ends group by node""")
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_degrees(some_edges(spark, sf_dir)).drop("loops")
+
+
+def _round(k: int) -> str:
+    """One round of pruning from e<k> to e<k + 1>."""
+    return f"""
+o{k} as materialized (select src as node, count(*) as n_out, count(*) filter (where src = dst) as n_loop from e{k} group by src),
+i{k} as materialized (select dst as node, count(*) as n_in from e{k} group by dst),
+a{k} as materialized (
+  select o.node from o{k} o left join i{k} i using (node) where not (n_out = 1 and n_loop = 1 and coalesce(n_in, 0) = 1)
+),
+e{k + 1} as materialized (select src, dst from e{k} where dst in (select node from a{k}))"""
+
+
+@query(f"with {SOME},{_round(0)}, nodes as (select src as node from e0 union select dst from e0) select node from nodes where node not in (select node from a0)")
+def dead_end_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dead_end_nodes(some_edges(spark, sf_dir))
+
+
+@query(f"with {SOME},{','.join(_round(k) for k in range(14))} select src, dst, count(*)::bigint as n from e14 group by src, dst")
+def remove_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.remove_dead_ends(some_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+# Texts and lines
+
+
+@query("select doc_id, regexp_replace(coalesce(text, ''), '((The|Is) (.+?)) ', '', 'g') as cleaned from documents")
+def regex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.stripped(F.coalesce("text", F.lit("")), "((The|Is) (.+?)) ").alias("cleaned"))
+
+
+@query("""select n_name || chr(9) || n_regionkey as pair, row_number() over (order by n_name, n_regionkey)::int as place,
+ dense_rank() over (order by n_regionkey, n_name)::int as swapped from nation""")
+def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs compare by first, then second; the table is the 25 nations, ranked whole."""
+    nation = table(spark, sf_dir, "nation").select(T.pair(F.col("n_name"), F.col("n_regionkey")).alias("p"))
+    swapped = T.pair(F.col("p.second"), F.col("p.first"))
+    return nation.select(
+        T.pair_text(F.col("p")).alias("pair"), F.row_number().over(Window.orderBy("p")).alias("place"), F.dense_rank().over(Window.orderBy(swapped)).alias("swapped")
+    )
+
+
+@query(r"""with l as (select doc_id, doc_id || chr(9) || coalesce(text, '') as value from documents)
+select doc_id, split_part(value, chr(9), 1) as title, length(substr(value, instr(value, chr(9)) + 1))::bigint as n_content from l""")
+def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as key, tab, value lines, taken apart again."""
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", line.alias("value"))
+    return rows.select("doc_id", files.key_of(F.col("value")).alias("title"), F.length(files.value_of(F.col("value"))).cast("long").alias("n_content"))
+
+
+@query(f"""with {SOME}, degrees as (select src, count(*) as out_deg from e0 group by src)
+select dst || ' ' || src || ' ' || round(1.0::double / out_deg, 5)::varchar as line from e0 join degrees using (src)""")
+def matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = graph.stochastic_matrix(some_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
+    return files.matrix_lines(cells).select(F.col("value").alias("line"))
+
+
+@query(f"""with {SOME}, degrees as (select src, count(*) as out_deg from e0 group by src)
+select dst::int as i, src::int as j, round(1.0::double / out_deg, 5) as a from e0 join degrees using (src)""")
+def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrix lines among vector lines, told apart by their fields and parsed."""
+    cells = graph.stochastic_matrix(some_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
+    entries = supplier_vector(spark, sf_dir).select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
+    return files.parse_matrix(files.matrix_lines(cells).unionByName(entries))
+
+
+@query("select s_suppkey::int as j, s_acctbal as v from supplier where s_acctbal > 0")
+def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = supplier_vector(spark, sf_dir).select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
+    return files.parse_vector(entries.unionByName(files.matrix_lines(graph.stochastic_matrix(some_edges(spark, sf_dir)))))

@@ -1 +1 @@
-
+"""Streams: none. All operators of the library work on bounded tables; see the README."""
