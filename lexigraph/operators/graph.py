@@ -57,10 +57,10 @@ def remove_dead_ends(edges: DataFrame, compat: bool = False) -> DataFrame:
     """
     now, before = edges, 0 if compat else -1
     while True:
-        alive = materialise(alive_nodes(now), "alive")
+        alive = materialise(alive_nodes(now), "alive", few=True)
         count = alive.count()
         if count == before:
             return now
         before = count
         # Each round reads what the last one wrote: no lineage grows with the rounds.
-        now = materialise(now.join(alive, now["dst"] == alive["node"], "left_semi"), "edges")
+        now = materialise(now.join(alive, now["dst"] == alive["node"], "left_semi"), "edges", few=True)

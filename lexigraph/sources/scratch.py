@@ -17,12 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a reread of the file and no recomputation, and rows that depend on task
-    ids or sampling (range partitions, row ids) are fixed from here on.
+    ids or sampling (range partitions, row ids) are fixed from here on. ``few`` is for tables much smaller than the
+    input: they are written by two tasks a core, however many partitions the shuffle before has, so that loops don't
+    leave thousands of tiny files.
     """
+    if few:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     path = f"{shared_dir(df.sparkSession)}/lexigraph-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
