@@ -11,23 +11,24 @@ from lexigraph.llm.scratch import materialise
 def components(links: DataFrame) -> DataFrame:
     """node, root for each node of ``links`` (a, b): root is the smallest node that links lead to.
 
-    Large and small stars alternate until the links point at roots only; the number of rounds is logarithmic. Each
+    Large and small stars alternate until every link points at a root; the number of rounds is logarithmic. Each
     round's minima are written first, so that joins with them can be split where a node has very many links.
     """
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    now = materialise(links.where("a <> b").select(high, low).distinct(), "links")
-    mark = None
-    while (new := _mark(now)) != mark:
-        mark = new
+    now = materialise(links.where("a <> b").select(high, low).distinct(), "links", few=True)
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima", few=True)
         large = now.join(least.withColumnsRenamed({"u": "v"}), "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large-star")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        large = materialise(large, "large-star", few=True)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "minima", few=True)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
+        now = materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star", few=True)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether each node either has one link down and none up to it, or none down: then the links' ends are roots."""
+    ends = links.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))))
+    downs = ends.groupBy("node").agg(F.sum("down").alias("n"), F.min("down").alias("least"))
+    return downs.where("n > 1 or (n = 1 and least = 0)").isEmpty()

@@ -114,8 +114,8 @@ def bucketed(reps: DataFrame, roots: list[tuple[int, int]], bucket: int = BUCKET
     rows = reps.select("rep", steps).select("rep", F.xxhash64("step.at.run", "step.at.position", "step.value").alias("path"))
     ends = None
     for level in range(1, depth + 1):
-        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
-        sized = materialise(rows.join(sizes, "path"), "buckets")
+        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes", few=True)
+        sized = materialise(rows.join(sizes, "path"), "buckets", few=True)
         done = sized if level == depth else sized.where(F.col("size") <= bucket)
         ends = done if ends is None else ends.unionByName(done)
         large = sized.where(F.col("size") > bucket)
@@ -240,7 +240,7 @@ def exact_links(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, lea
 
     ``classes`` has class, rep, copies, rep_doc, text_key of the sets to compare.
     """
-    sizes = materialise(classes.groupBy("class").agg(F.count("*").alias("size")), "class-sizes")
+    sizes = materialise(classes.groupBy("class").agg(F.count("*").alias("size")), "class-sizes", few=True)
     wanted = classes.join(sizes, "class").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     rows = docs.select(docs[doc_id].alias("doc_id"), normalised(docs[text]).alias("t")).withColumn("key", F.md5("t"))
     met = rows.join(wanted, (rows["key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["rep_doc"]))
@@ -302,17 +302,17 @@ def near_duplicates(
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id")
     reps = own.groupBy("text_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"))
     reps = reps.select(F.monotonically_increasing_id().alias("rep"), "text_key", F.col("first.doc_id").alias("rep_doc"), "copies", "n", "firsts", "bits")
-    reps = materialise(reps, "texts")
+    reps = materialise(reps, "texts", few=True)
     sets = reps.where("n > 0")
 
     candidates = components(candidate_links(bucketed(sets, roots, bucket, depth), sets, bucket))
     classes = candidates.join(reps.select("rep", "text_key", "rep_doc", "copies"), F.col("node") == F.col("rep")).withColumnRenamed("root", "class")
-    found = materialise(exact_links(classes.drop("node"), docs, text, doc_id, least, tile), "links")
+    found = materialise(exact_links(classes.drop("node"), docs, text, doc_id, least, tile), "links", few=True)
     degrees = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots_ = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
     named = reps.select("rep", "text_key", "rep_doc", "copies", "n").join(degrees, "rep", "left").join(roots_.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialise(named.withColumn("root", F.coalesce("root", "rep")), "named-texts")
+    named = materialise(named.withColumn("root", F.coalesce("root", "rep")), "named-texts", few=True)
     first = F.min(F.struct(F.isnull("rep_doc").alias("no_id"), "rep_doc")).alias("first")
     heads = named.where("texts > 0").groupBy("root").agg(first).select("root", F.col("first.rep_doc").alias("head"))
     named = named.join(heads, "root", "left")
@@ -327,6 +327,7 @@ def near_duplicates(
             F.when(empty, 0).otherwise(texts_).cast("long").alias("n_texts"),
         ),
         "text-classes",
+        few=True,
     )
     class_id = F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     return own.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", class_id, "n_links", "n_texts")
@@ -336,7 +337,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with the row of the smallest id of each class; rows that share its id and its text stay with it."""
     found = near_duplicates(docs, text, doc_id)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    gone = materialise(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "near-copies")
+    gone = materialise(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "near-copies", few=True)
     return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.md5(normalised(F.col(text))) == F.col("__gone_key")), "left_anti")
 
 

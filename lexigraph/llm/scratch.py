@@ -1,32 +1,5 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate and driver tables; see ``lexigraph.sources.scratch``."""
 
-from __future__ import annotations
+from lexigraph.sources.scratch import materialise, shared_dir, table
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests, local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="lexigraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread of the file and no recomputation, and rows that depend on task
-    ids or sampling (range partitions, row ids) are fixed from here on.
-    """
-    path = f"{shared_dir(df.sparkSession)}/lexigraph-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialise", "shared_dir", "table"]
