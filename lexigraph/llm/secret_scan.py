@@ -85,17 +85,24 @@ def labelled_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return chosen.select(F.inline(rows))
 
 
-def ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) for each pair of ALPHABET, row by row, from (token, random)."""
+def ratios(samples: DataFrame, backoff: float = 10.0) -> list[float]:
+    """log P(b | a, random) - log P(b | a, ordinary) for each pair of ALPHABET, row by row, from (token, random).
+
+    P(b | a) is estimated from the pair's count and ``backoff`` times the share of b at all, so that transitions which
+    a sample of random strings happens not to show aren't taken as rare.
+    """
     at = F.explode(F.sequence(F.lit(1), F.length("token") - 1))
     pairs = samples.where(F.length("token") > 1).select("random", "token", at.alias("at")).select("random", F.col("token").substr(F.col("at"), F.lit(2)).alias("pair"))
     counts = {(row["random"], row["pair"]): row["count"] for row in pairs.groupBy("random", "pair").count().collect()}
-    size, table_ = len(ALPHABET), []
-    for a in ALPHABET:
-        seen = {r: sum(counts.get((r, a + b), 0) for b in ALPHABET) for r in (True, False)}
-        logs = {r: [math.log((counts.get((r, a + b), 0) + smoothing) / (seen[r] + smoothing * size)) for b in ALPHABET] for r in (True, False)}
-        table_ += [x - y for x, y in zip(logs[True], logs[False], strict=True)]
-    return table_
+    logs = {}
+    for random in (True, False):
+        n = {(a, b): counts.get((random, a + b), 0) for a in ALPHABET for b in ALPHABET}
+        total = sum(n.values())
+        share = {b: (sum(n[a, b] for a in ALPHABET) + 1) / (total + len(ALPHABET)) for b in ALPHABET}
+        for a in ALPHABET:
+            seen = sum(n[a, b] for b in ALPHABET)
+            logs |= {(random, a, b): math.log((n[a, b] + backoff * share[b]) / (seen + backoff)) for b in ALPHABET}
+    return [logs[True, a, b] - logs[False, a, b] for a in ALPHABET for b in ALPHABET]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:

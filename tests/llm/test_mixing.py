@@ -1,0 +1,78 @@
+import hashlib
+import random
+
+import pytest
+
+from lexigraph.llm import mixing as M
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """Brute force: share by weight, cap, share the excess again, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if w[s] * level >= cap * sizes[s]}
+        if not over:
+            return out | {s: w[s] * level for s in open_}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+def documents(spark, rng, n, sources):
+    rows = [(i, rng.choice(sources), " ".join("w" * rng.randrange(1, 40)) if rng.random() < 0.95 else None) for i in range(n)]
+    rows += [(0, "hot", "a b\x0bc\n")] * 3 + [(None, None, "x y")] + [(10_000 + i, "hot", "word " * 9) for i in range(n)]
+    return rows, spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, size int").repartition(5)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_plan_against_brute_force(spark, seed):
+    rows, docs = documents(spark, random.Random(seed), 300, ["b", "a", "é", "z", "", None, "\U0001f642", "￿"])
+    count = lambda t: len((t or "").split())
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + count(t)
+    want = targets(sizes)
+    found = M.plan_mix(docs).collect()
+    assert len(found) == len(rows)
+    taken = dict.fromkeys(sizes, 0)
+    for r in found:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        rate = want[r.source] / sizes[r.source] if sizes[r.source] else 0
+        u = int(hashlib.md5(f"20:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+        assert r.copies == int(rate) + (u < rate - int(rate)) <= 2
+        taken[r.source] += r.copies * r.size
+    assert taken["hot"] == pytest.approx(want["hot"], rel=0.15)
+    again = M.plan_mix(docs.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
+
+
+def test_mixed_rows_follow_the_plan(spark):
+    rows, docs = documents(spark, random.Random(3), 100, ["b", "a", None])
+    want = sorted((repr((r.doc_id, r.source)) for r in M.plan_mix(docs).collect() for _ in range(r.copies)))
+    found = M.mixed(docs)
+    assert found.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.source)) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a", None), (2, "b", " ")], [(1, None, "one two")]])
+def test_edges(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = M.plan_mix(docs).collect()
+    assert len(found) == len(rows)
+    assert all(r.target == (3.0 if r.size else 0.0) for r in found)
+
+
+def test_many_sources_in_many_partitions(spark):
+    rows = [(i, f"s{i % 700:04d}", "w " * (i % 13 + 1)) for i in range(2000)]
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = targets(sizes)
+    frame = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(7)
+    found = {r.source: r.target for r in M.source_targets(frame, (3, 1, 2), 1.5, 2.0).collect()}
+    assert found == pytest.approx(want)
