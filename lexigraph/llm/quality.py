@@ -70,9 +70,10 @@ class Model:
         return np.round(np.concatenate(out), 6) if out else np.zeros(0)
 
 
-def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8, epochs: int = 4, rate: float = 0.4, seed: int = 6) -> Model:
-    """Train on ``rows``; ``counts`` has how often each label occurs in all."""
+def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8, epochs: int | None = None, rate: float = 0.4, seed: int = 6) -> Model:
+    """Train on ``rows``; ``counts`` has how often each label occurs in all. Few rows are gone through more often."""
     size = 1 << BITS
+    epochs = epochs or max(4, min(40, 10_000 // max(1, len(rows))))
     if len(set(labels)) < 2:
         n = sum(counts.values())
         return Model(np.zeros(size, np.float32), float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))) if n else 0.0)
