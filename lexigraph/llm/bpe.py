@@ -29,6 +29,8 @@ from lexigraph.llm.scratch import table
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for Python's engines.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of a block, whose table of distinct words and arrays bound a task's memory; a longer text is a block alone.
+BLOCK_WORDS = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -123,20 +125,31 @@ def _gathered(values: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def _encoded(vocabulary: Vocabulary, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids and each document's bounds in them; the ids in decimal, commas after them, and the documents' bounds there."""
+def word_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches with about ``most`` words together, at least one row."""
+    for batch in batches:
+        bounds = np.asarray(batch.column("__words").offsets, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _encoded(vocabulary: Vocabulary, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block of documents in a row, and each document's bounds in them."""
     bounds = np.asarray(words.offsets, dtype=np.int64)
     flat = words.values.slice(bounds[0], bounds[-1] - bounds[0])
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()
-    at = np.asarray(coded.indices, dtype=np.int64)
+    at = np.asarray(coded.indices)
     ids, starts = vocabulary.encode_words(coded.dictionary.to_pylist())
     # Join by position: word k of the text gets the run of ids that its distinct word has.
     counts = np.diff(starts)[at]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    within = np.arange(ends[-1]) - np.repeat(ends[:-1], counts)
-    token_ids = ids[np.repeat(starts[:-1][at], counts) + within]
-    return token_ids, ends[bounds]
+    place = np.repeat(starts[:-1][at] - ends[:-1], counts)
+    place += np.arange(ends[-1])
+    return ids[place], ends[bounds]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -145,7 +158,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(sent.value)
-        for batch in batches:
+        for batch in word_blocks(batches):
             ids, bounds = _encoded(vocabulary, batch.column("__words"))
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], column], [*keep, "ids"])
@@ -181,7 +194,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(sent.value)
         written = pa.array([f"{i},".encode() for i in range(len(vocabulary.pieces))], pa.large_binary())
-        for batch in batches:
+        for batch in word_blocks(batches):
             ids, bounds = _encoded(vocabulary, batch.column("__words"))
             out: list[list] = [[], []]
             for k, (values, cut) in enumerate(((written, 1), (vocabulary.pieces, 0))):
