@@ -16,20 +16,28 @@ from lexigraph.functions.text import inverse_document_frequency, term_frequency,
 from lexigraph.sources.scratch import materialise
 
 
+def token_rows(docs: DataFrame) -> DataFrame:
+    """row_id, title, token: a row for each token."""
+    return docs.select("row_id", "title", F.explode(tokens(F.col("content"))).alias("token"))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """row_id, title, token, n."""
-    rows = docs.select("row_id", "title", F.explode(tokens(F.col("content"))).alias("token"))
-    return rows.groupBy("row_id", "title", "token").agg(F.count("*").alias("n"))
+    return token_rows(docs).groupBy("row_id", "title", "token").agg(F.count("*").alias("n"))
+
 
+def token_terms(rows: DataFrame) -> DataFrame:
+    """token, term: each distinct token of ``rows`` is stemmed once, and the table written for the joins with it."""
+    return materialise(stemmed(rows.select("token").distinct()).select("token", F.lower("stem").alias("term")), "terms")
 
-def token_terms(counts: DataFrame) -> DataFrame:
-    """token, term: each distinct token is stemmed once, and the table written for the joins with it."""
-    return materialise(stemmed(counts.select("token").distinct()).select("token", F.lower("stem").alias("term")), "terms")
+
+def _stop_stems(words: DataFrame) -> DataFrame:
+    return materialise(stemmed(words.select(F.col("word").alias("token"))), "stop-stems", few=True)
 
 
 def stop_terms(words: DataFrame) -> DataFrame:
     """term: the distinct stems of ``words`` (word)."""
-    return materialise(stemmed(words.select(F.col("word").alias("token"))).select(F.col("stem").alias("term")).distinct(), "stop-terms")
+    return _stop_stems(words).select(F.col("stem").alias("term")).distinct()
 
 
 def without_stop_terms(rows: DataFrame, stop: DataFrame) -> DataFrame:
@@ -38,11 +46,18 @@ def without_stop_terms(rows: DataFrame, stop: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """row_id, title, term, n, without stop words."""
-    counts = token_counts(docs)
-    # The stop words go before the counts meet their terms: the filter is on the smaller side.
-    terms = without_stop_terms(token_terms(counts), stop_terms(words))
-    return counts.join(terms, "token").groupBy("row_id", "title", "term").agg(F.sum("n").alias("n"))
+    """row_id, title, term, n, without stop words.
+
+    Tokens that are stop words as they stand, nearly half of a text, go before anything is shuffled; the rest of the
+    filter is on the table of distinct tokens. The rows then meet their terms and go to their document's partition,
+    where they are counted and where ``term_frequencies`` finds them.
+    """
+    stems = _stop_stems(words)
+    stop = stems.select(F.col("stem").alias("term")).distinct()
+    surely = stems.join(stop, F.lower("stem") == F.col("term"), "left_semi").select("token").distinct()
+    rows = token_rows(docs).join(surely, "token", "left_anti")
+    terms = without_stop_terms(token_terms(rows), stop)
+    return rows.join(terms, "token").repartition("row_id").groupBy("row_id", "title", "term").agg(F.count("*").alias("n"))
 
 
 def document_lengths(counts: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TEXT_CTES} select distinct token, lower(stem) as stem from stems where token in (select token from tokens)")
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.token_terms(index.token_counts(corpus(spark, sf_dir))).withColumnRenamed("term", "stem")
+    return index.token_terms(index.token_rows(corpus(spark, sf_dir))).withColumnRenamed("term", "stem")
 
 
 @query(f"with {TEXT_CTES} select doc_id, sum(n)::bigint as n_kept from kept group by doc_id")
