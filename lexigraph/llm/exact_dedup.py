@@ -103,7 +103,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     digest = F.sha2(normalised(F.col(text)), 256)
     copy = F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (digest == F.col("__gone_sha"))
-    clean = docs.join(gone, copy, "left_anti")
+    # The copies are a share of the documents, so their table is never broadcast; its keys are unique, and hashing it
+    # partition by partition spares sorting the texts.
+    clean = docs.join(gone.hint("shuffle_hash"), copy, "left_anti")
     if repeated.isEmpty():
         return clean
     # Rows that share both id and text can't be told apart by either: of these, any one stays.

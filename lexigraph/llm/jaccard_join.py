@@ -243,7 +243,8 @@ def exact_links(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, lea
     sizes = materialise(classes.groupBy("class").agg(F.count("*").alias("size")), "class-sizes", few=True)
     wanted = classes.join(sizes, "class").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
     rows = docs.select(docs[doc_id].alias("doc_id"), normalised(docs[text]).alias("t")).withColumn("key", F.md5("t"))
-    met = rows.join(wanted, (rows["key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["rep_doc"]))
+    # The wanted texts are a share of all: hashed by partition at every size, which spares sorting the texts.
+    met = rows.join(wanted.hint("shuffle_hash"), (rows["key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["rep_doc"]))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -338,7 +339,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     found = near_duplicates(docs, text, doc_id)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
     gone = materialise(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "near-copies", few=True)
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.md5(normalised(F.col(text))) == F.col("__gone_key")), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.md5(normalised(F.col(text))) == F.col("__gone_key")), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
