@@ -30,7 +30,7 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for Python's engines.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of a block, whose table of distinct words and arrays bound a task's memory; a longer text is a block alone.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
