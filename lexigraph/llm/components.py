@@ -24,11 +24,13 @@ def components(links: DataFrame) -> DataFrame:
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "minima", few=True)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star", few=True)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 def _stars(links: DataFrame) -> bool:
     """Whether each node either has one link down and none up to it, or none down: then the links' ends are roots."""
-    ends = links.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))))
+    end = lambda node, down: F.struct(F.col(node).alias("node"), F.lit(down).alias("down"))
+    ends = links.select(F.inline(F.array(end("u", 1), end("v", 0))))
     downs = ends.groupBy("node").agg(F.sum("down").alias("n"), F.min("down").alias("least"))
     return downs.where("n > 1 or (n = 1 and least = 0)").isEmpty()

@@ -96,7 +96,8 @@ def sketched(docs: DataFrame, text: str, doc_id: str, roots: list[tuple[int, int
                 sizes.append(len(found))
                 firsts.append(least[wanted].astype(np.int64))
                 bits.append((least >> np.uint32(16) ^ least).astype(np.uint16).tobytes())
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            made = [pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("text_key"), *made]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "firsts", "bits"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -301,7 +302,8 @@ def near_duplicates(
     roots = root_positions(runs_for(recall, depth), np.random.default_rng(seed))
     own = materialise(sketched(docs, text, doc_id, roots, seed), "sketches")
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id")
-    reps = own.groupBy("text_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"))
+    same = [F.first(c).alias(c) for c in ("n", "firsts", "bits")]  # equal texts have equal sketches
+    reps = own.groupBy("text_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), *same)
     reps = reps.select(F.monotonically_increasing_id().alias("rep"), "text_key", F.col("first.doc_id").alias("rep_doc"), "copies", "n", "firsts", "bits")
     reps = materialise(reps, "texts", few=True)
     sets = reps.where("n > 0")
@@ -339,7 +341,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     found = near_duplicates(docs, text, doc_id)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
     gone = materialise(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "near-copies", few=True)
-    return docs.join(gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.md5(normalised(F.col(text))) == F.col("__gone_key")), "left_anti")
+    copy = F.col(doc_id).eqNullSafe(F.col("__gone_id")) & (F.md5(normalised(F.col(text))) == F.col("__gone_key"))
+    return docs.join(gone.hint("shuffle_hash"), copy, "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,8 @@ def ratios(samples: DataFrame, backoff: float = 10.0) -> list[float]:
     a sample of random strings happens not to show aren't taken as rare.
     """
     at = F.explode(F.sequence(F.lit(1), F.length("token") - 1))
-    pairs = samples.where(F.length("token") > 1).select("random", "token", at.alias("at")).select("random", F.col("token").substr(F.col("at"), F.lit(2)).alias("pair"))
+    pairs = samples.where(F.length("token") > 1).select("random", "token", at.alias("at"))
+    pairs = pairs.select("random", F.col("token").substr(F.col("at"), F.lit(2)).alias("pair"))
     counts = {(row["random"], row["pair"]): row["count"] for row in pairs.groupBy("random", "pair").count().collect()}
     logs = {}
     for random in (True, False):
