@@ -212,7 +212,9 @@ def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("i", F.round("x", 5).alias("x"))
 
 
-@query(f"with {MATRIX}, summed as (select i, j, sum(a) as a from matrix group by i, j) select i, round(sum(coalesce(s_acctbal, 0.0) * a), 5) as x from summed left join (select * from supplier where s_acctbal > 0) on s_suppkey = j group by i")
+@query(f"""with {MATRIX}, summed as (select i, j, sum(a) as a from matrix group by i, j)
+select i, round(sum(coalesce(s_acctbal, 0.0) * a), 5) as x
+from summed left join (select * from supplier where s_acctbal > 0) on s_suppkey = j group by i""")
 def matvec_summed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With parallel edges added up, so that no weight is lost."""
     found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), supplier_vector(spark, sf_dir), "sum")
