@@ -36,7 +36,10 @@ def query(sql: str) -> Callable:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
+    # A table of fewer splits than cores, such as one small file, is dealt out before the texts are taken apart.
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 STOP = ", ".join(f"('{w}')" for w in files.listed_words())
