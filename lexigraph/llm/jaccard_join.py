@@ -8,7 +8,9 @@ Documents are sets of hashed shingles of five words; two are linked if their set
    meet. Buckets of up to BUCKET sets are compared by brute force; larger ones are split again, up to DEPTH times. A
    pair of similarity 0.8 survives a level as a critical branching process does, from which follows the number of
    runs for the target recall. What is still large after DEPTH levels is dealt into tiles, and one tile, its hub, is
-   compared with all: members of a dense bucket meet through the hub, in work proportional to their number.
+   compared with all: members of a dense bucket meet through the hub, in work proportional to their number. Then all
+   other pairs of the bucket are compared, tile by tile, but for those that the hubs have brought into one class
+   already and those whose numbers of shingles alone rule out 0.8.
 3. Similar sketches in a bucket give candidate classes by connected components, with a margin below 0.8 that loses no
    true link. Sets of a candidate class are compared exactly, in tiles of bounded size where the class is large; no
    pair becomes a row. Each text gets the number of its links, and links that span each group give the final classes.
@@ -153,8 +155,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def similar_sketches(bits: np.ndarray, least: int) -> np.ndarray:
-    """For each row, the first row of its component, rows being joined if ``least`` positions agree."""
+def similar_sketches(bits: np.ndarray, least: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each row, the first row of its component, rows (of different sides) being joined if ``least`` positions agree."""
     n = len(bits)
     label = np.full(n, -1)
     rest = np.arange(n)
@@ -165,11 +167,13 @@ def similar_sketches(bits: np.ndarray, least: int) -> np.ndarray:
         rest = rest[label[rest] < 0]
         todo = [first]
         while todo and len(rest):
-            close = (bits[rest] == bits[todo.pop()]).sum(axis=1) >= least
-            new = rest[close]
-            label[new] = first
-            rest = rest[~close]
-            todo += new.tolist()
+            row = todo.pop()
+            others = rest if side is None else rest[side[rest] != side[row]]
+            new = others[(bits[others] == bits[row]).sum(axis=1) >= least]
+            if len(new):
+                label[new] = first
+                rest = rest[label[rest] < 0]
+                todo += new.tolist()
     return label
 
 
@@ -196,6 +200,58 @@ def candidate_links(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET, l
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def remaining_links(buckets: DataFrame, reps: DataFrame, found: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
+    """(a, b): links of the buckets above ``bucket`` that the hubs left out; ``found`` (node, root) has the hubs' classes.
+
+    A bucket is cut into cells by size band, and a class that fills more than a tile of a band has a cell of its own.
+    Sets of similarity LEAST are in the same band or in neighbours; cells of one class need no comparison.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / LEAST + 1e-6)).cast("int").alias("band")
+    rows = buckets.where(F.col("size") > bucket).select("path", "rep").distinct().join(reps.select("rep", band), "rep")
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep")).drop("root")
+    keys = ["path", "band", "class"]
+    counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("k")), "large-cells", few=True)
+    own = counts.where(F.col("k") > bucket).select(*keys, F.col("class").alias("cell"))
+    rows = materialise(rows.join(own, keys, "left").withColumn("cell", F.coalesce("cell", F.lit(-1))).drop("class"), "large-buckets", few=True)
+    cells = rows.groupBy("path", "band", "cell").agg(F.ceil(F.count("*") / bucket).cast("int").alias("tiles"))
+    cells = materialise(cells, "cells", few=True)
+    near = cells.withColumnsRenamed({"band": "other_band", "cell": "other_cell", "tiles": "other_tiles"})
+    apart = (F.abs(F.col("band") - F.col("other_band")) <= 1) & ((F.col("cell") != F.col("other_cell")) | (F.col("cell") == -1))
+    met = materialise(cells.join(near, "path").where(apart), "cell-pairs", few=True)
+
+    rows = rows.join(met, ["path", "band", "cell"]).withColumn("tile", F.pmod(F.xxhash64("rep", "path"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other_tile", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
+    this, that = F.struct("band", "cell", "tile"), F.struct(*[F.col(f"other_{c}").alias(c) for c in ("band", "cell", "tile")])
+    side = F.when(this == that, 2).when(this < that, 0).otherwise(1).alias("side")
+    rows = rows.select("rep", F.xxhash64("path", F.least(this, that), F.greatest(this, that)).alias("pair"), side)
+    rows = rows.join(reps.select("rep", "bits"), "rep").repartition("pair").sortWithinPartitions("pair", "side")
+    least = math.ceil(loose * POSITIONS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["pair"]):
+            side = group.column("side").to_numpy()
+            if group.num_rows < 2 or (side[0] == side[-1] and side[0] != 2):
+                continue  # the other tile is empty
+            rep = group.column("rep").to_numpy()
+            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            label = similar_sketches(bits, least, None if side[0] == side[-1] else side)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def candidate_classes(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """node, root of all sets that are similar by sketch to another in a bucket."""
+    found = components(candidate_links(buckets, reps, bucket))
+    if buckets.where(F.col("size") > bucket).isEmpty():
+        return found
+    found = materialise(found, "hub-classes", few=True)
+    more = remaining_links(buckets, reps, found, bucket)
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 # Exact comparison inside candidate classes
 
 
@@ -308,7 +364,7 @@ def near_duplicates(
     reps = materialise(reps, "texts", few=True)
     sets = reps.where("n > 0")
 
-    candidates = components(candidate_links(bucketed(sets, roots, bucket, depth), sets, bucket))
+    candidates = candidate_classes(bucketed(sets, roots, bucket, depth), sets, bucket)
     classes = candidates.join(reps.select("rep", "text_key", "rep_doc", "copies"), F.col("node") == F.col("rep")).withColumnRenamed("root", "class")
     found = materialise(exact_links(classes.drop("node"), docs, text, doc_id, least, tile), "links", few=True)
     degrees = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))

@@ -67,6 +67,20 @@ def test_against_brute_force(spark, seed, options):
     assert len(wrong) <= (0 if not options else 3), wrong  # tiny buckets split often: recall by the runs
 
 
+def test_short_near_copies_of_a_passage_that_many_long_texts_share(spark):
+    """A bucket that stays large and isn't dense: few of its pairs are similar, and none of those is so to its hub."""
+    rng = random.Random(6)
+    own = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(8):
+        passage = own(60)
+        texts += [own(rng.randrange(20, 80)) + passage + own(rng.randrange(10, 60)) for _ in range(500)]
+        pairs += [passage + own(1), passage + own(1)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + pairs)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(docs, bucket=4, depth=1).collect()}
+    assert got == {i: (i, 0) if i < len(texts) else (i - i % 2, 1) for i in range(len(texts + pairs))}
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus(4)
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
