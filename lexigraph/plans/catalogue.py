@@ -307,3 +307,83 @@ def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = supplier_vector(spark, sf_dir).select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
     return files.parse_vector(entries.unionByName(files.matrix_lines(graph.stochastic_matrix(some_edges(spark, sf_dir)))))
+
+
+# Graph, matrix and vector over whole tables: the queries above that choose edges or suppliers, with nothing left out
+
+
+def whole_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))
+
+
+def _vector_lines(vector: DataFrame) -> DataFrame:
+    return vector.select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
+
+
+EVERY = "e0 as materialized (select l_suppkey as src, l_partkey as dst from lineitem)"
+WHOLE_PRODUCTS = f"""{MATRIX}, products as (
+  select i, j, coalesce(s_acctbal, 0.0) * a as b
+  from (select i, j, max(a) as a from matrix group by i, j) left join supplier on s_suppkey = j
+)"""
+
+
+@query(f"""with {EVERY}, ends as (
+  select src as node, 0 as i, 1 as o from e0 union all select dst, 1, 0 from e0
+) select node, sum(i)::bigint as in_deg, sum(o)::bigint as out_deg from ends group by node""")
+def node_degrees_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_degrees(all_edges(spark, sf_dir)).drop("loops")
+
+
+@query(f"with {EVERY},{_round(0)}, nodes as (select src as node from e0 union select dst from e0) select node from nodes where node not in (select node from a0)")
+def dead_end_nodes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dead_end_nodes(all_edges(spark, sf_dir))
+
+
+@query(f"with {EVERY},{','.join(_round(k) for k in range(14))} select src, dst, count(*)::bigint as n from e14 group by src, dst")
+def remove_dead_ends_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.remove_dead_ends(all_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"with {WHOLE_PRODUCTS} select i, j, round(b, 6) as b from products")
+def partial_products_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.partial_products(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir))
+    return found.select("i", "j", F.round("b", 6).alias("b"))
+
+
+@query(f"with {WHOLE_PRODUCTS} select i, round(sum(b), 5) as x from products group by i")
+def matvec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir))
+    return found.select("i", F.round("x", 5).alias("x"))
+
+
+@query(f"""with {MATRIX}, summed as (select i, j, sum(a) as a from matrix group by i, j)
+select i, round(sum(coalesce(s_acctbal, 0.0) * a), 5) as x from summed left join supplier on s_suppkey = j group by i""")
+def matvec_summed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir), "sum")
+    return found.select("i", F.round("x", 5).alias("x"))
+
+
+@query(f"with {WHOLE_PRODUCTS} select round(sum(b), 3) as total from products")
+def vector_total_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir))
+    return linalg.total(found).select(F.round("total", 3).alias("total"))
+
+
+@query(f"""with {EVERY}, degrees as (select src, count(*) as out_deg from e0 group by src)
+select dst || ' ' || src || ' ' || round(1.0::double / out_deg, 5)::varchar as line from e0 join degrees using (src)""")
+def matrix_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = graph.stochastic_matrix(all_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
+    return files.matrix_lines(cells).select(F.col("value").alias("line"))
+
+
+@query(f"""with {EVERY}, degrees as (select src, count(*) as out_deg from e0 group by src)
+select dst::int as i, src::int as j, round(1.0::double / out_deg, 5) as a from e0 join degrees using (src)""")
+def matrix_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = graph.stochastic_matrix(all_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
+    return files.parse_matrix(files.matrix_lines(cells).unionByName(_vector_lines(whole_vector(spark, sf_dir))))
+
+
+@query("select s_suppkey::int as j, s_acctbal as v from supplier")
+def vector_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _vector_lines(whole_vector(spark, sf_dir))
+    return files.parse_vector(entries.unionByName(files.matrix_lines(graph.stochastic_matrix(all_edges(spark, sf_dir)))))
