@@ -2,9 +2,10 @@
 
 Terms are the 64-bit hashes of lower-case words and of their first four and five bytes, present or not in a document.
 The log-odds are a sum of term weights and of the inner products of the factors of all pairs of present terms, so the
-pair of an insult and a group's name can weigh more than both alone. Weights are trained by follow-the-regularised-
-leader with an L1 penalty, over the terms whose presence a G-test finds to depend on the label; only terms whose weight
-isn't zero have factors. So long documents gather no noise, and the table that executors get is small and bounded.
+pair of an insult and a group's name can weigh more than both alone. All terms of the sample have a weight and factors,
+in a table of bounded size. Weights are trained by follow-the-regularised-leader with an L1 penalty that is the larger
+the less a term's presence depends on the label; the pairs of a text count in proportion to SHORT over its number of
+terms, and factors shrink. So long documents gather little noise, and no term or pair is ruled out beforehand.
 
 Null texts are empty. Without labels of both classes the score is the classes' smoothed frequency.
 """
@@ -27,9 +28,10 @@ from lexigraph.llm.scratch import table
 PREFIXES = (4, 5)
 #: Documents of each class that the model is fitted on, at most.
 PER_CLASS = 3000
-#: Least G statistic of a term, and most terms, the strongest first.
-RELEVANCE, MOST_TERMS = 24.0, 1 << 16
-FILTER_BITS = 20
+#: Terms share the buckets of a table of 2 ** TABLE_BITS; factors up to TINY count as none.
+TABLE_BITS, TINY = 22, 1e-3
+#: G statistic of a term from which its weight has the least penalty; terms of a text from which its pairs count less.
+RELEVANCE, SHORT = 24.0, 10
 
 
 def lowered(rows: list[str]) -> list[str]:
@@ -37,7 +39,7 @@ def lowered(rows: list[str]) -> list[str]:
 
 
 def terms(block: H.Bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms and the text of each."""
+    """Buckets of the terms and the text of each."""
     starts, ends = block.words(H.LETTERS)
     of = block.of(starts)
     found, texts_ = [H.word_hashes(block.data, starts, ends)], [of]
@@ -45,55 +47,51 @@ def terms(block: H.Bytes) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts > n
         found.append(H.word_hashes(block.data, starts[long], ends[long], n, salt=n))
         texts_.append(of[long])
-    return np.concatenate(found), np.concatenate(texts_)
+    return (np.concatenate(found) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.concatenate(texts_)
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # sorted
+    buckets: np.ndarray  # sorted
     weights: np.ndarray
     factors: np.ndarray  # terms x rank
     bias: float
 
     def __post_init__(self):
-        self.possible = np.zeros(1 << FILTER_BITS, bool)
-        self.possible[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
-
-    def present(self, block: H.Bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Each pair of a text and a known term in it, once."""
-        hashes, of = terms(block)
-        likely = self.possible[hashes >> np.uint64(64 - FILTER_BITS)]
-        hashes, of = hashes[likely], of[likely]
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(0, bool)
-        pairs = np.unique(of[known] * max(1, len(self.hashes)) + at[known])
-        return np.divmod(pairs, max(1, len(self.hashes)))
+        self.place = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.place[self.buckets] = np.arange(len(self.buckets))
+
+    def present(self, block: H.Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair of a text and a known term in it, once, and the number of terms of each text."""
+        buckets, of = terms(block)
+        of, buckets = np.divmod(np.unique(of << TABLE_BITS | buckets), 1 << TABLE_BITS)
+        at = self.place[buckets]
+        return of[at >= 0], at[at >= 0], np.bincount(of, minlength=len(block.starts) - 1)
 
     def scores(self, rows: list[str]) -> np.ndarray:
         out = []
         for data in H.blocks(lowered(rows)):
-            of, term = self.present(H.Bytes(data))
+            of, term, sizes = self.present(H.Bytes(data))
             odds = self.bias + np.bincount(of, self.weights[term], len(data))
+            share = np.minimum(1.0, SHORT / np.maximum(1, sizes))
             for factor in self.factors.T:
                 total = np.bincount(of, factor[term], len(data))
-                odds += 0.5 * (total**2 - np.bincount(of, factor[term] ** 2, len(data)))
+                odds += 0.5 * share * (total**2 - np.bincount(of, factor[term] ** 2, len(data)))
             out.append(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
         return np.round(np.concatenate(out), 6) if out else np.zeros(0)
 
 
-def relevant(found: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms, sorted, whose presence depends on the label by a G-test with RELEVANCE."""
-    hashes, at = np.unique(np.concatenate(found), return_inverse=True)
-    label = np.repeat(labels, [len(x) for x in found])
-    total, g = np.bincount(labels, minlength=2), np.zeros(len(hashes))
-    n = np.bincount(at, minlength=len(hashes))
+def dependence(at: np.ndarray, sizes: list[int], labels: np.ndarray, terms_: int) -> np.ndarray:
+    """The G statistic of each term's presence and the label; ``at`` has the terms of the texts in turn."""
+    label = np.repeat(labels, sizes)
+    total, g = np.bincount(labels, minlength=2), np.zeros(terms_)
+    n = np.bincount(at, minlength=terms_)
     for c in (0, 1):
-        k = np.bincount(at[label == c], minlength=len(hashes))
+        k = np.bincount(at[label == c], minlength=terms_)
         for seen, expected in ((k, n * total[c] / total.sum()), (total[c] - k, (total.sum() - n) * total[c] / total.sum())):
             with np.errstate(divide="ignore", invalid="ignore"):
                 g += np.where(seen > 0, 2 * seen * np.log(seen / expected), 0.0)
-    best = np.argsort(-g, kind="stable")[:MOST_TERMS]
-    return np.sort(hashes[best[g[best] >= RELEVANCE]])
+    return g
 
 
 def fit(
@@ -108,42 +106,42 @@ def fit(
     seed: int = 8,
 ) -> Model:
     """Train on ``rows``; ``counts`` has how often each label occurs in all."""
-    none = np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, rank))
+    none = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank), np.float32)
     if len(set(labels)) < 2:
         return Model(*none, float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))))
     found = [np.unique(terms(H.Bytes([x.encode("utf-8", "surrogatepass")]))[0]) for x in lowered(rows)]
-    hashes = relevant(found, np.array(labels))
-    index = []
-    for own in found:
-        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        index.append(at[hashes[at] == own] if len(hashes) else np.zeros(0, int))
+    buckets, at = np.unique(np.concatenate(found), return_inverse=True)
+    sizes = [len(x) for x in found]
+    index = np.split(at, np.cumsum(sizes)[:-1])
+    # No term is left out: the less its presence alone tells of the label, the more evidence its weight needs.
+    l1_of = l1 * np.maximum(1.0, RELEVANCE / np.maximum(dependence(at, sizes, np.array(labels), len(buckets)), 1e-9))
 
     rng = np.random.default_rng(seed)
-    size = len(hashes)
+    size = len(buckets)
     z, squares, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    v, v_squares = rng.normal(0, 0.05, (size, rank)), np.ones((size, rank))
+    v, v_squares = rng.normal(0, 0.01, (size, rank)), np.ones((size, rank))
     bias, bias_squares = 0.0, 1.0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             x = index[i]
-            active = x[w[x] != 0]
-            total = v[active].sum(0)
-            odds = bias + w[x].sum() + 0.5 * (total @ total - (v[active] ** 2).sum())
+            own = v[x]
+            total = own.sum(0)
+            share = min(1.0, SHORT / max(1, len(x)))
+            odds = bias + w[x].sum() + 0.5 * share * (total @ total - (own**2).sum())
             error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[i]
             bias_squares += error * error
             bias -= rate * error / np.sqrt(bias_squares)
             sigma = (np.sqrt(squares[x] + error * error) - np.sqrt(squares[x])) / rate
             z[x] += error - sigma * w[x]
             squares[x] += error * error
-            w[x] = np.where(np.abs(z[x]) <= l1, 0.0, -(z[x] - np.sign(z[x]) * l1) / ((1 + np.sqrt(squares[x])) / rate + l2))
-            if len(active) > 1:
-                slope = error * (total - v[active]) + 0.01 * v[active]
-                v_squares[active] += slope**2
-                v[active] -= 0.1 * slope / np.sqrt(v_squares[active])
+            w[x] = np.where(np.abs(z[x]) <= l1_of[x], 0.0, -(z[x] - np.sign(z[x]) * l1_of[x]) / ((1 + np.sqrt(squares[x])) / rate + l2))
+            slope = share * error * (total - own) + 0.1 * own
+            v_squares[x] += slope**2
+            v[x] = own - 0.02 * slope / np.sqrt(v_squares[x])
     sampled = np.bincount(labels, minlength=2)
     shift = np.log(counts[1] / counts[0]) - np.log(sampled[1] / sampled[0])
-    stays = w != 0
-    return Model(hashes[stays], w[stays], v[stays], bias + shift)
+    stays = (w != 0) | (np.abs(v).max(axis=1, initial=0) > TINY)
+    return Model(buckets[stays], w[stays], v[stays].astype(np.float32), bias + shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -152,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and score, the probability of label 1, of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.factors, model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.factors, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)

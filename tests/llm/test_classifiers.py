@@ -55,6 +55,30 @@ def test_pairs_make_toxicity(spark):
     assert len(model.weights) < 40 and model.factors.shape[1] == 4
 
 
+def test_pairs_without_marginal_effect_make_toxicity():
+    """Toxic are texts with both words or with neither: each word alone is as frequent in both classes."""
+    rng, rows = random.Random(5), []
+    for _ in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices(WORDS, k=8) + ["oaf"] * a + ["northerners"] * b
+        rng.shuffle(words)
+        rows.append((" ".join(words), int(a == b)))
+    model = toxicity.fit([t for t, _ in rows[:1600]], [y for _, y in rows[:1600]], {0: 800, 1: 800})
+    found = model.scores([t for t, _ in rows[1600:]]) >= 0.5
+    assert np.mean(found == [y for _, y in rows[1600:]]) > 0.97
+
+
+def test_rare_insults_are_learned():
+    """Each of 40 insults is in three toxic texts of the sample."""
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}ow" for a in "bcdfgh" for b in "aeiou" for c in "klmnprst"]
+    insults = [f"zq{i}x{i}" for i in range(40)]
+    rows = [" ".join(rng.choices(words, k=30) + ([insults[i // 10 % 40]] if i % 10 == 0 else [])) for i in range(1200)]
+    model = toxicity.fit(rows, [int(i % 10 == 0) for i in range(1200)], {0: 1080, 1: 120})
+    assert np.mean(model.scores([" ".join(rng.choices(words, k=30) + [x]) for x in insults]) >= 0.7) > 0.6
+    assert np.mean(model.scores([" ".join(rng.choices(words, k=30)) for _ in range(400)]) >= 0.7) < 0.02
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_edges(spark, module):
     rng = random.Random(3)
