@@ -1,8 +1,10 @@
 """Secret scans in DataFrame operations only: fixed patterns, and Markov models of characters for the rest.
 
 Two first-order Markov chains over the characters of keys are trained from labelled samples: one on random strings
-(the values that the fixed patterns find), one on ordinary identifiers (all other tokens). A long token whose
-log-likelihood ratio per transition favours the random chain is a secret too. Both chains are counted in Spark; what
+(the values that the fixed patterns find), one on ordinary identifiers (all other tokens). A run of key characters
+whose log-likelihood ratio per transition favours the random chain is a secret too; if the whole run doesn't, as in a
+path or URL, its parts between separators are scored alone. What lies beside a fixed pattern's span is a run of its
+own. A short run needs the same sum as one of FULL characters. Both chains are counted in Spark; what
 reaches the driver has at most twice the square of the alphabet's rows.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Without any labelled random string the
@@ -23,13 +25,15 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 KEY = "[A-Za-z0-9+/_.=-]"
-#: Candidates are whole runs of key characters from this length on.
-LONG = rf"(?<!{KEY}){KEY}{{20,}}"
+#: Candidates are whole runs of key characters, and parts of them, from this length on; length from which the mean counts.
+LONG, PART, FULL = rf"(?<!{KEY}){KEY}{{12,}}", r"[A-Za-z0-9+]{12,}", 20
 KINDS = ("assign", "access", "hex", "markov")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
-#: Expected number of documents that the chains are trained on; the sample is drawn by a hash of the id.
+#: Expected number of documents whose ordinary tokens are trained on; the sample is drawn by a hash of the id.
 TRAINING_DOCS = 2000
+#: Random strings that the chain is trained on, at most, from all documents.
+TRAINING_STRINGS = 5000
 #: Least log-likelihood ratio, in nats per transition, of a secret, and least number of different characters.
 MARGIN, DISTINCT = 0.6, 8
 
@@ -71,18 +75,23 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def labelled_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", training_docs: int = TRAINING_DOCS) -> DataFrame:
-    """token, random (boolean) from a hash sample of about ``training_docs`` documents, all of them if there are fewer."""
+def labelled_samples(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", training_docs: int = TRAINING_DOCS, training_strings: int = TRAINING_STRINGS
+) -> DataFrame:
+    """token, random (boolean): ``training_strings`` random strings of all documents, and other tokens of a hash sample of documents.
+
+    The strings with the smallest hashes are taken. The sample has about ``training_docs`` documents, or all.
+    """
     n = docs.count()
     share = min(1.0, training_docs / max(n, 1))
-    chosen = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    values = F.concat(
-        F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("t", F.lit(HEX), F.lit(0))
-    )
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    found = lambda pattern, group: F.when(F.col("t").rlike(pattern), F.regexp_extract_all("t", F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+    values = F.filter(F.concat(found(ASSIGN, 2), found(ACCESS, 0), found(HEX, 0)), lambda v: F.length(v) >= 12)
+    strings = rows.select("id", F.explode(values).alias("token")).orderBy(F.xxhash64("id", "token"), "token").limit(training_strings)
     others = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    label = lambda tokens, is_random: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(is_random).alias("random")))
-    rows = F.concat(label(F.filter(values, lambda v: F.length(v) >= 12), True), label(F.regexp_extract_all(others, F.lit(KEY + "{4,}"), F.lit(0)), False))
-    return chosen.select(F.inline(rows))
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    tokens = chosen.select(F.explode(F.regexp_extract_all(others, F.lit(KEY + "{4,}"), F.lit(0))).alias("token"))
+    return strings.select("token", F.lit(True).alias("random")).unionByName(tokens.select("token", F.lit(False).alias("random")))
 
 
 def ratios(samples: DataFrame, backoff: float = 10.0) -> list[float]:
@@ -122,10 +131,17 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", doc_id: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     base = base_spans(t)
     rows = rows.select("doc_id", "t", F.concat(*[base[k] for k in KINDS[:3]]).alias("base"))
-    # A candidate must be random by its letters, stand apart from the base spans and not merely repeat few characters.
-    odd = lambda x: (F.size(F.array_distinct(F.split(x["match"], ""))) >= DISTINCT) & (log_ratio(x["match"], model) > margin)
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = _if_any(t, LONG, _spans(F.filter(_located(t, LONG), lambda x: apart(x) & odd(x)), 3))
+    # The base spans are blanked, so that runs lie beside them.
+    blank = lambda left, b: F.overlay(left, F.repeat(F.lit(" "), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"])
+    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, F.aggregate("base", t, blank)).otherwise(t).alias("rest"))
+    # A candidate must be random by its letters and not merely repeat few characters.
+    least = lambda x: F.lit(margin) * F.greatest(F.lit(1.0), F.lit(FULL - 1.0) / (F.length(x["match"]) - 1))
+    odd = lambda x: (F.size(F.array_distinct(F.split(x["match"], ""))) >= DISTINCT) & (log_ratio(x["match"], model) > least(x))
+    moved = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["match"].alias("match"))
+    parts = lambda x: F.transform(F.filter(_located(x["match"], PART), odd), lambda y: moved(y, x["start"]))
+    secrets = lambda x: F.when(odd(x), F.array(moved(x, F.lit(0)))).when(x["match"].rlike("[/._=-]"), parts(x))
+    found = F.flatten(F.filter(F.transform(_located(F.col("rest"), LONG), secrets), lambda y: y.isNotNull()))
+    more = _if_any(F.col("rest"), LONG, _spans(found, 3))
     rows = rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
     number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return rows.select("doc_id", "base", "spans", *[number(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)])
