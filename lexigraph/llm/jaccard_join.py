@@ -5,19 +5,23 @@ Documents are sets of hashed shingles of five words; two are linked if their set
 1. Texts that differ in white space alone are one text from here on. Each text's set gets a minhash sketch.
 2. Chosen paths: a run is a random tree. A node chooses each sketch position with probability 1 / (0.8 x positions); a
    set goes to one child for each chosen position, named by its value there, so sets that share the sampled token
-   meet. Buckets of up to BUCKET sets are compared by brute force; larger ones are split again, up to DEPTH times. A
-   pair of similarity 0.8 survives a level as a critical branching process does, from which follows the number of
-   runs for the target recall. What is still large after DEPTH levels is dealt into tiles, and one tile, its hub, is
-   compared with all: members of a dense bucket meet through the hub, in work proportional to their number. Then all
-   other pairs of the bucket are compared, tile by tile, but for those that the hubs have brought into one class
-   already and those whose numbers of shingles alone rule out 0.8.
+   meet. Buckets of up to BUCKET sets are compared by brute force. A larger one first meets its hub, a tile of BUCKET
+   of its sets: what is similar to a hub set joins that one's class. If all but BUCKET of its sets are then in one
+   class, the bucket is dense; those few are compared with all, and nothing is left to compare, as a class is compared
+   exactly in step 3. Other large buckets are split again, up to DEPTH times. A pair of similarity 0.8 survives a level
+   as a critical branching process does, from which follows the number of runs for the target recall. What is still
+   large after DEPTH levels is compared as a whole, tile by tile, but for pairs within a class and those whose numbers
+   of shingles alone rule out 0.8. So work in a bucket is in proportion to its sets at every step but this last one.
 3. Similar sketches in a bucket give candidate classes by connected components, with a margin below 0.8 that loses no
-   true link. Sets of a candidate class are compared exactly, in tiles of bounded size where the class is large; no
+   true link. Sets of a candidate class are compared exactly, in tiles of bounded size where the class is large; there
+   each set is sent as its symmetric difference to one set of the class, which is all that their similarities take. No
    pair becomes a row. Each text gets the number of its links, and links that span each group give the final classes.
 
 Recall is that of step 2; every link of step 3 is exact. Shingles are of whitespace-separated words as they are; a text
 of one to four words is one shingle, and a text without words links to nothing. Null texts are empty. Rows that repeat
-an id and a text are copies like others. Null ids come last.
+an id and a text are copies like others. Null ids come last. An empty table gives an empty result. A very long text is
+one set in one task's memory, eight bytes a word. Other columns of the input, whatever their names, are not read, and
+``one_of_each`` returns them as they were.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +45,8 @@ WORDS, LEAST = 5, 0.8
 #: Positions of a sketch; similarity by sketch from which sets are compared exactly (four standard deviations below).
 POSITIONS, LOOSE = 128, 0.655
 BUCKET, DEPTH, RECALL = 256, 3, 0.99
-#: Sets in a tile of a large class.
-TILE = 512
+#: Sets in a tile of a large class, and shingles in all its sets together, on average.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 SEED = 4
 
 
@@ -110,26 +115,19 @@ def sketched(docs: DataFrame, text: str, doc_id: str, roots: list[tuple[int, int
 # Buckets of chosen paths
 
 
-def bucketed(reps: DataFrame, roots: list[tuple[int, int]], bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """path, rep, size: the buckets of two sets or more that all runs end in."""
+def root_paths(reps: DataFrame, roots: list[tuple[int, int]]) -> DataFrame:
+    """rep, path: the buckets of the first level."""
     places = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(p).alias("position")) for r, p in roots])
     steps = F.explode(F.arrays_zip(places.alias("at"), F.col("firsts").alias("value"))).alias("step")
-    rows = reps.select("rep", steps).select("rep", F.xxhash64("step.at.run", "step.at.position", "step.value").alias("path"))
-    ends = None
-    for level in range(1, depth + 1):
-        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes", few=True)
-        sized = materialise(rows.join(sizes, "path"), "buckets", few=True)
-        done = sized if level == depth else sized.where(F.col("size") <= bucket)
-        ends = done if ends is None else ends.unionByName(done)
-        large = sized.where(F.col("size") > bucket)
-        if level == depth or large.isEmpty():
-            break
-        chance = int((1 << 20) / (LEAST * POSITIONS))
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64("path", p), F.lit(1 << 20)) < chance)
-        down = large.select("rep", "path", F.explode(chosen).alias("p")).join(reps.select("rep", "bits"), "rep")
-        value = F.substring("bits", F.col("p") * 2 + 1, F.lit(2))
-        rows = down.select("rep", F.xxhash64("path", "p", value).alias("path"))
-    return ends
+    return reps.select("rep", steps).select("rep", F.xxhash64("step.at.run", "step.at.position", "step.value").alias("path"))
+
+
+def child_paths(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, path: the buckets that those of ``buckets`` are split into."""
+    chance = int((1 << 20) / (LEAST * POSITIONS))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64("path", p), F.lit(1 << 20)) < chance)
+    down = buckets.select("rep", "path", F.explode(chosen).alias("p")).join(reps.select("rep", "bits"), "rep")
+    return down.select("rep", F.xxhash64("path", "p", F.substring("bits", F.col("p") * 2 + 1, F.lit(2))).alias("path"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -156,7 +154,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def similar_sketches(bits: np.ndarray, least: int, side: np.ndarray | None = None) -> np.ndarray:
-    """For each row, the first row of its component, rows (of different sides) being joined if ``least`` positions agree."""
+    """For each row, the first row of its component, rows being joined if ``least`` positions agree.
+
+    With ``side``, rows of one side aren't compared with each other, unless it is side 2.
+    """
     n = len(bits)
     label = np.full(n, -1)
     rest = np.arange(n)
@@ -168,7 +169,7 @@ def similar_sketches(bits: np.ndarray, least: int, side: np.ndarray | None = Non
         todo = [first]
         while todo and len(rest):
             row = todo.pop()
-            others = rest if side is None else rest[side[rest] != side[row]]
+            others = rest if side is None or side[row] == 2 else rest[side[rest] != side[row]]
             new = others[(bits[others] == bits[row]).sum(axis=1) >= least]
             if len(new):
                 label[new] = first
@@ -177,38 +178,91 @@ def similar_sketches(bits: np.ndarray, least: int, side: np.ndarray | None = Non
     return label
 
 
-def candidate_links(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
-    """(a, b): links that span what is similar by sketch in each bucket, or in each tile with the hub."""
+def _bits(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+
+
+def _links(rep: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    if len(linked):
+        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+
+
+def bucket_links(buckets: DataFrame, reps: DataFrame, loose: float = LOOSE) -> DataFrame:
+    """(a, b): links that span what is similar by sketch in each bucket (path, rep)."""
+    rows = buckets.select("path", "rep").join(reps.select("rep", "bits"), "rep").repartition("path").sortWithinPartitions("path")
+    least = math.ceil(loose * POSITIONS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["path"]):
+            if group.num_rows > 1:
+                yield from _links(group.column("rep").to_numpy(), similar_sketches(_bits(group), least))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def hub_classes(large: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
+    """path, rep, size, class, near of each set of the large buckets (path, rep, size).
+
+    near is a set of the bucket's hub that the set is similar to by sketch, class the first hub set of its component
+    within the hub; both are null where no hub set is similar. A set meets its own tile and the hub, so a bucket of n
+    sets makes about 2 x n rows and bucket x n comparisons.
+    """
+    tiles = F.ceil(F.col("size") / bucket).cast("int")
+    rows = large.withColumn("tiles", tiles).withColumn("home", F.pmod(F.xxhash64("rep", "path"), F.col("tiles")).cast("int"))
+    everywhere = F.when(F.col("home") == 0, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("home"))
+    rows = rows.select("path", "rep", "size", "home", F.explode(everywhere).alias("tile"))
+    # The hub's rows come in the same order in each tile, so that its classes have the same names.
+    rows = rows.join(reps.select("rep", "bits"), "rep").repartition("path", "tile").sortWithinPartitions("path", "tile", "home", "rep")
+    least = math.ceil(loose * POSITIONS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["path", "tile"]):
+            rep, home, bits = group.column("rep").to_numpy(), group.column("home").to_numpy(), _bits(group)
+            n, tile = int(np.searchsorted(home, 0, "right")), group.column("tile")[0].as_py()
+            label = similar_sketches(bits[:n], least)
+            near = np.full(len(rep) - n, -1) if tile else label
+            own = np.arange(n, len(rep)) if tile else np.arange(n)
+            if tile:
+                for h in range(n):
+                    open_ = np.flatnonzero(near < 0)
+                    near[open_[(bits[own[open_]] == bits[h]).sum(axis=1) >= least]] = h
+            found = pa.array(near < 0)
+            names = [pa.array(rep[np.maximum(x, 0)] if n else np.zeros(len(own), np.int64)) for x in (label[near] if n else near, near)]
+            names = [pc.if_else(found, pa.scalar(None, pa.int64()), x) for x in names]
+            kept = group.take(pa.array(own))
+            columns = [kept.column(c).combine_chunks() for c in ("path", "rep", "size")]
+            yield pa.RecordBatch.from_arrays([*columns, *names], ["path", "rep", "size", "class", "near"])
+
+    return rows.mapInArrow(run, "path long, rep long, size long, class long, near long")
+
+
+def rest_links(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
+    """(a, b): links of dense buckets (path, rep, size, main): each set outside the main class is compared with all."""
     tiles = F.ceil(F.col("size") / bucket).cast("int")
-    tile = F.pmod(F.xxhash64("rep", "path"), F.col("tiles")).cast("int")
-    hub_everywhere = F.when(F.col("tile") == 0, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
-    rows = buckets.withColumn("tiles", tiles).withColumn("tile", tile).select("path", "rep", F.explode(hub_everywhere).alias("tile"))
+    rows = buckets.withColumn("tiles", tiles)
+    tile = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("rep", "path"), F.col("tiles")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
+    rows = rows.select("path", "rep", F.when(F.col("main"), 0).otherwise(2).alias("side"), F.explode(tile).alias("tile"))
     rows = rows.join(reps.select("rep", "bits"), "rep").repartition("path", "tile").sortWithinPartitions("path", "tile")
     least = math.ceil(loose * POSITIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["path", "tile"]):
-            if group.num_rows < 2:
-                continue
-            rep = group.column("rep").to_numpy()
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            label = similar_sketches(bits, least)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+            side = group.column("side").to_numpy()
+            if side.any() and len(side) > 1:
+                yield from _links(group.column("rep").to_numpy(), similar_sketches(_bits(group), least, side))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def remaining_links(buckets: DataFrame, reps: DataFrame, found: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
-    """(a, b): links of the buckets above ``bucket`` that the hubs left out; ``found`` (node, root) has the hubs' classes.
+def whole_links(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
+    """(a, b): links between the classes of large buckets (path, rep, class), all of whose sets are compared.
 
     A bucket is cut into cells by size band, and a class that fills more than a tile of a band has a cell of its own.
     Sets of similarity LEAST are in the same band or in neighbours; cells of one class need no comparison.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / LEAST + 1e-6)).cast("int").alias("band")
-    rows = buckets.where(F.col("size") > bucket).select("path", "rep").distinct().join(reps.select("rep", band), "rep")
-    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("root", "rep")).drop("root")
+    rows = buckets.select("path", "rep", F.coalesce("class", "rep").alias("class")).join(reps.select("rep", band), "rep")
     keys = ["path", "band", "class"]
     counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("k")), "large-cells", few=True)
     own = counts.where(F.col("k") > bucket).select(*keys, F.col("class").alias("cell"))
@@ -232,48 +286,75 @@ def remaining_links(buckets: DataFrame, reps: DataFrame, found: DataFrame, bucke
             side = group.column("side").to_numpy()
             if group.num_rows < 2 or (side[0] == side[-1] and side[0] != 2):
                 continue  # the other tile is empty
-            rep = group.column("rep").to_numpy()
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            label = similar_sketches(bits, least, None if side[0] == side[-1] else side)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+            label = similar_sketches(_bits(group), least, None if side[0] == side[-1] else side)
+            yield from _links(group.column("rep").to_numpy(), label)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def candidate_classes(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """node, root of all sets that are similar by sketch to another in a bucket."""
-    found = components(candidate_links(buckets, reps, bucket))
-    if buckets.where(F.col("size") > bucket).isEmpty():
-        return found
-    found = materialise(found, "hub-classes", few=True)
-    more = remaining_links(buckets, reps, found, bucket)
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+def candidate_classes(reps: DataFrame, roots: list[tuple[int, int]], bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+    """node, root of all sets that are similar by sketch to another in a bucket of the chosen paths."""
+    rows, small, links = root_paths(reps, roots), [], []
+    for level in range(1, depth + 1):
+        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes", few=True)
+        sized = materialise(rows.join(sizes, "path"), "buckets", few=True)
+        small.append(sized.where(F.col("size") <= bucket).select("path", "rep"))
+        large = sized.where(F.col("size") > bucket)
+        if large.isEmpty():
+            break
+        met = materialise(hub_classes(large, reps, bucket), "hub-classes", few=True)
+        links.append(met.where("near <> rep").select(F.col("rep").alias("a"), F.col("near").alias("b")).distinct())
+        counts = met.where("class is not null").groupBy("path", "class").agg(F.count("*").alias("k"))
+        most = counts.groupBy("path").agg(F.max(F.struct("k", "class")).alias("most")).select("path", "most.k", F.col("most.class").alias("widest"))
+        # A hub is empty, by its sets' hashes, in few buckets or none: these have no class.
+        met = met.join(materialise(most, "widest-classes", few=True), "path", "left")
+        met = met.withColumn("rest", F.col("size") - F.coalesce("k", F.lit(0))).withColumn("main", F.coalesce(F.col("class") == F.col("widest"), F.lit(False)))
+        met = materialise(met.where("rest > 0").drop("k", "widest", "near"), "large-buckets", few=True)
+        links.append(rest_links(met.where(F.col("rest") <= bucket), reps, bucket))
+        open_ = met.where(F.col("rest") > bucket)
+        if open_.isEmpty():
+            break
+        if level == depth:
+            links.append(whole_links(open_, reps, bucket))
+        else:
+            rows = child_paths(open_, reps)
+    ends = small[0]
+    for more in small[1:]:
+        ends = ends.unionByName(more)
+    found = bucket_links(ends, reps)
+    for more in links:
+        found = found.unionByName(more)
+    return components(found)
 
 
 # Exact comparison inside candidate classes
 
 
-def linked_sets(sets: list[np.ndarray], least: float, split: int | None = None) -> np.ndarray:
-    """Whether each pair of sets has similarity ``least``; with ``split``, of pairs across that place only."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes)
+def linked_sets(sizes: np.ndarray, apart: list[np.ndarray], least: float, split: int | None = None) -> np.ndarray:
+    """Whether each pair of sets has similarity ``least``; with ``split``, of pairs across that place only.
+
+    ``sizes`` are the sets' own, ``apart`` their symmetric differences to one and the same set, which may be the empty
+    one. The symmetric difference of two sets is that of those, so no more is needed.
+    """
+    n = len(apart)
+    lengths = np.array([len(s) for s in apart])
+    values, at, counts = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), lengths)
     shared = counts[at] > 1
     row, at = row[shared], (np.cumsum(counts > 1) - 1)[at[shared]]
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
     common = np.zeros((n, n), np.float32)
-    width = 8192
+    width = 4096
     for start in range(0, int((counts > 1).sum()), width):
         a, b = np.searchsorted(at, (start, start + width))
-        part = np.zeros((n, width), np.float32)
+        part = np.zeros((n, min(width, int(at[b - 1]) - start + 1)), np.float32)
         part[row[a:b], at[a:b] - start] = 1
         common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = common >= least * union - 1e-6
+    # With d of the difference: the union has (sizes + d) / 2, the intersection (sizes - d) / 2 elements.
+    total = (sizes[:, None] + sizes[None, :]).astype(np.float64)
+    differ = lengths[:, None] + lengths[None, :] - 2.0 * common
+    linked = total - differ >= least * (total + differ) - 1e-3
     np.fill_diagonal(linked, False)
     if split is not None:
         linked[:split, :split] = False
@@ -295,10 +376,13 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def exact_links(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, least: float, tile: int = TILE) -> DataFrame:
     """rep, root (a rep it reaches by links), texts and copies it links to; a row of each for every group that has it.
 
-    ``classes`` has class, rep, copies, rep_doc, text_key of the sets to compare.
+    ``classes`` has class (one of its reps), rep, copies, rep_doc, text_key, n of the sets to compare.
     """
-    sizes = materialise(classes.groupBy("class").agg(F.count("*").alias("size")), "class-sizes", few=True)
-    wanted = classes.join(sizes, "class").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
+    sizes = classes.groupBy("class").agg(F.count("*").alias("size"), F.sum("n").alias("all"))
+    # Tiles are bounded by their sets and by their shingles; a class of one tile is compared there as it is.
+    tiles = F.ceil(F.greatest(F.col("size") / tile, F.col("all") / TILE_SHINGLES)).cast("int")
+    sizes = materialise(sizes.select("class", tiles.alias("tiles")), "class-sizes", few=True)
+    wanted = classes.join(sizes, "class").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     rows = docs.select(docs[doc_id].alias("doc_id"), normalised(docs[text]).alias("t")).withColumn("key", F.md5("t"))
     # The wanted texts are a share of all: hashed by partition at every size, which spares sorting the texts.
     met = rows.join(wanted.hint("shuffle_hash"), (rows["key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(wanted["rep_doc"]))
@@ -308,14 +392,33 @@ def exact_links(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, lea
             sets = [s.tobytes() for s in shingle_sets(texts(batch.column("t")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    names = ["class", "rep", "copies", "tiles"]
-    sets = met.select(*names, "t").mapInArrow(shingled, "class long, rep long, copies long, tiles int, shingles binary")
-    # Tile pairs (i, j), i <= j: a set goes to the pairs that have its tile.
-    sets = sets.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sets = sets.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    names = ["class", "rep", "copies", "tiles", "tile"]
+    found = met.select(*names, "t").mapInArrow(shingled, "class long, rep long, copies long, tiles int, tile int, shingles binary")
+    found = materialise(found, "sets")
     keys = ["class", "low", "high"]
-    grouped = sets.select(*keys, "tile", "rep", "copies", "shingles").repartition(*keys).sortWithinPartitions(*keys, "tile", "rep")
+    whole = [(F.length("shingles") / 8).cast("int").alias("n"), F.col("shingles").alias("apart")]
+    grouped = found.where("tiles = 1").select("class", F.lit(0).alias("low"), F.lit(0).alias("high"), "tile", "rep", "copies", *whole)
+    if not sizes.where("tiles > 1").isEmpty():
+        # One set of each large class goes to its tiles, where the others become their differences to it.
+        base = found.where("tiles > 1 and rep = class").dropDuplicates(["class"])
+        base = base.select("class", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("shingles").alias("base"))
+        large = found.where("tiles > 1").join(base, ["class", "tile"], "left")
+
+        def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                sets, n = [], []
+                for x, y in zip(batch.column("shingles").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                    own = np.frombuffer(x, np.uint64)
+                    n.append(len(own))
+                    sets.append(np.setxor1d(own, np.frombuffer(y or b"", np.uint64), assume_unique=True).tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int32()), pa.array(sets, pa.binary())], [*names, "n", "apart"])
+
+        # Tile pairs (i, j), i <= j: a set goes to the pairs that have its tile.
+        large = large.mapInArrow(apart, "class long, rep long, copies long, tiles int, tile int, n int, apart binary")
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        large = large.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+        grouped = grouped.unionByName(large.select(*keys, "tile", "rep", "copies", "n", "apart"))
+    grouped = grouped.repartition(*keys).sortWithinPartitions(*keys, "tile", "rep")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
@@ -324,12 +427,12 @@ def exact_links(classes: DataFrame, docs: DataFrame, text: str, doc_id: str, lea
             group = group.take(pa.array(np.sort(first)))
             if group.num_rows < 2:
                 continue
-            rep, copies, tiles = (group.column(c).to_numpy() for c in ("rep", "copies", "tile"))
-            found = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            rep, copies, tiles, n = (group.column(c).to_numpy() for c in ("rep", "copies", "tile", "n"))
+            apart = [np.frombuffer(x, np.uint64) for x in group.column("apart").to_pylist()]
             across = int(np.searchsorted(tiles, tiles[0], "right")) if tiles[0] != tiles[-1] else None
             if group.column("low")[0].as_py() != group.column("high")[0].as_py() and across is None:
                 continue  # the other tile is empty
-            linked = linked_sets(found, least, across)
+            linked = linked_sets(n, apart, least, across)
             some = np.flatnonzero(linked.any(axis=1))
             if len(some):
                 root = rep[_roots(linked)]
@@ -364,8 +467,8 @@ def near_duplicates(
     reps = materialise(reps, "texts", few=True)
     sets = reps.where("n > 0")
 
-    candidates = candidate_classes(bucketed(sets, roots, bucket, depth), sets, bucket)
-    classes = candidates.join(reps.select("rep", "text_key", "rep_doc", "copies"), F.col("node") == F.col("rep")).withColumnRenamed("root", "class")
+    candidates = candidate_classes(sets, roots, bucket, depth)
+    classes = candidates.join(reps.select("rep", "text_key", "rep_doc", "copies", "n"), F.col("node") == F.col("rep")).withColumnRenamed("root", "class")
     found = materialise(exact_links(classes.drop("node"), docs, text, doc_id, least, tile), "links", few=True)
     degrees = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots_ = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -81,6 +81,34 @@ def test_short_near_copies_of_a_passage_that_many_long_texts_share(spark):
     assert got == {i: (i, 0) if i < len(texts) else (i - i % 2, 1) for i in range(len(texts + pairs))}
 
 
+@pytest.mark.parametrize("options", [{}, {"bucket": 64, "tile": 128}])
+def test_recall_at_the_threshold_with_hot_groups(spark, options):
+    """Pairs of similarity 0.80 to 0.83 among texts that share a passage with them, and among near copies of one text."""
+    rng = random.Random(8)
+    own = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+    passage, hot = own(50), own(120)
+    texts = [passage + own(60) for _ in range(1500)]
+    for _ in range(900):  # a dense group: each text differs from the hot one in one word
+        copy = list(hot)
+        copy[rng.randrange(10, 110)] = own(1)[0]
+        texts.append(copy)
+    pairs = []
+    for k in range(300):  # 111 words have 107 shingles; two changed words leave 97 of them: 97 / 117 is 0.83
+        one = passage + own(61) if k % 2 else own(111)
+        two = list(one)
+        two[70], two[90] = own(2)
+        pairs.append((one, two))
+    rows = texts + [t for pair in pairs for t in pair]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(docs, **options).collect()}
+    at = len(texts)
+    found = sum(got[i] == got[i + 1] == (i, 1) for i in range(at, len(rows), 2))
+    assert found >= (0.99 if not options else 0.97) * len(pairs), found
+    assert all(got[i] == (i, 0) for i in range(1500))
+    want = brute([(i, " ".join(rows[i])) for i in range(1500, 1500 + 900)])
+    assert {i: got[i] for i in want} == want
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus(4)
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
@@ -104,12 +132,16 @@ def test_shingle_sets_and_links():
     sets = list(J.shingle_sets(texts))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
     full = [k for k, s in enumerate(sets) if len(s)]
-    linked = J.linked_sets([sets[k] for k in full], 0.8)
+    own = [sets[k] for k in full]
+    sizes = np.array([len(x) for x in own])
+    linked = J.linked_sets(sizes, own, 0.8)
     for x, a in enumerate(full):
         for y, b in enumerate(full):
             p, q = shingles(texts[a]), shingles(texts[b])
             assert linked[x, y] == (a != b and len(p & q) >= 0.8 * len(p | q) - 1e-9)
-    across = J.linked_sets([sets[k] for k in full], 0.8, 20)
+    for base in (own[0], own[7], np.zeros(0, np.uint64)):  # differences to any set tell the same
+        assert np.array_equal(J.linked_sets(sizes, [np.setxor1d(x, base) for x in own], 0.8), linked)
+    across = J.linked_sets(sizes, own, 0.8, 20)
     assert not across[:20, :20].any() and not across[20:, 20:].any() and np.array_equal(across[:20, 20:], linked[:20, 20:])
 
 
