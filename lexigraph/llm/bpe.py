@@ -1,13 +1,19 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Spark splits the texts into words with the tokenizer's own pattern. A block of documents then makes a table of its
-distinct words, encodes each of them once, and joins the ids back to the words' positions; decoding joins the ids to
-the table of pieces in the same way. Both joins are gathers by index, so a token costs a few nanoseconds, no word leaves
-its block, and nothing is shuffled. (One table for the whole corpus would have to move every word occurrence, or every
-block's words twice and the texts once: more than the input; see the README.)
+Spark splits the texts into words with the tokenizer's own pattern and counts, over the whole corpus, the rows that each
+distinct word is in. The words of most rows, up to TABLE_WORDS, make a table: each is encoded once, and the table, whose
+size that number bounds, goes to all tasks. A block of documents finds its distinct words there and joins their ids back
+to the words' positions; decoding joins the ids to the table of pieces in the same way. Words beyond the table, which
+few rows have, are encoded once in each block that has them: to give these one table too, their positions and, to meet
+them again, all texts would have to be shuffled (see the README). Every word of every text is encoded in either way.
+
+The JVM's tables of Unicode may be older than the library's. A text with a code point that they don't know is not split
+but encoded whole, by the library's own pattern.
 
 The vocabulary is a byte-level BPE file of the tokenizers library; what the driver sends is its fixed size. Null texts
-count as empty and have no tokens. Special strings in a text get their special ids, as in the library.
+count as empty and have no tokens. Special strings in a text get their special ids, as in the library. Repeated rows
+are encoded each; an empty table gives an empty result; a very long text makes a block of its own. Of further columns,
+one that has the name of a result is replaced, and all others stay as they are.
 """
 
 from __future__ import annotations
@@ -20,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.scratch import table
+from lexigraph.llm.scratch import materialise, table
 
 #: The split pattern of byte-level BPE (fixed value); (?U) makes Java's \s that of Unicode.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,6 +38,10 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of a block, whose table of distinct words and arrays bound a task's memory; a longer text is a block alone.
 BLOCK_WORDS = 1 << 18
+#: Words of the corpus's table, at most.
+TABLE_WORDS = 1 << 18
+#: A code point that the JVM's tables of Unicode don't have.
+UNKNOWN = r"\p{Cn}"
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,7 +95,7 @@ class Vocabulary:
         for i, word in enumerate(words):
             if word in self.special:
                 ids[i] = np.array([self.special[word]])
-            elif word.isspace() or len(self.newline) != 1:
+            elif word.isspace() or "\n" in word or len(self.newline) != 1:
                 ids[i] = np.array(self.encode_text(word))
             else:
                 plain.append(i)
@@ -101,11 +112,15 @@ class Vocabulary:
 
 
 def split_words(text: Column, special: list[str]) -> Column:
-    """The words of each text in order; special strings are words, and white space before one ends the text."""
+    """The words of each text in order; special strings are words, and white space before one ends the text.
+
+    A text with a code point that is UNKNOWN is one word.
+    """
     text = F.coalesce(text, F.lit(""))
     words = lambda t: F.regexp_extract_all(t, F.lit(WORDS), F.lit(0))
+    split = lambda found: F.when(text.rlike(UNKNOWN), F.array(text)).otherwise(found)
     if not special:
-        return words(text)
+        return split(words(text))
     longest = sorted(special, key=len, reverse=True)
     either = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", s) for s in longest)
     between = F.transform(F.split(text, either, -1), words)
@@ -114,7 +129,42 @@ def split_words(text: Column, special: list[str]) -> Column:
     any_special = F.lit(False)
     for s in longest:
         any_special = any_special | text.contains(s)
-    return F.when(any_special, paired).otherwise(words(text))
+    return split(F.when(any_special, paired).otherwise(words(text)))
+
+
+def common_words(words: DataFrame, most: int = TABLE_WORDS, column: str = "__words") -> list[str]:
+    """The words that most rows of ``words`` have, up to ``most`` of those that more than one row has.
+
+    Counted over all rows, within tasks first. Steps of frequency are taken from the top as long as they fit, so the
+    driver reads some hundred sums and at most ``most`` words.
+    """
+    counts = words.select(F.explode(F.array_distinct(column)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(counts.select("word", F.floor(F.log2("n") * 8).cast("int").alias("step")), "words")
+    least, total = None, 0
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["step"]
+    return [] if least is None else [row["word"] for row in counts.where(F.col("step") >= least).select("word").collect()]
+
+
+class WordTable:
+    """Distinct words, their ids in a row, and where each word's ids start (one more at the end)."""
+
+    def __init__(self, words: list[str], ids: np.ndarray, starts: np.ndarray):
+        self.words, self.ids, self.starts = pa.array(words, pa.string()), ids, starts
+
+    def runs(self, vocabulary: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of ``words`` where its own begin among them and how many it has."""
+        found = pc.index_in(words, value_set=self.words)
+        miss = np.asarray(found.is_null())
+        at = np.asarray(found.fill_null(0)).astype(np.int64)
+        ids, starts = vocabulary.encode_words(words.filter(pa.array(miss)).to_pylist())
+        begin, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[~miss], count[~miss] = self.starts[at[~miss]], np.diff(self.starts)[at[~miss]]
+        begin[miss], count[miss] = len(self.ids) + starts[:-1], np.diff(starts)
+        return np.concatenate([self.ids, ids]), begin, count
 
 
 def _gathered(values: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,39 +186,40 @@ def word_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> I
             start = end
 
 
-def _encoded(vocabulary: Vocabulary, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(vocabulary: Vocabulary, known: WordTable, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a block of documents in a row, and each document's bounds in them."""
     bounds = np.asarray(words.offsets, dtype=np.int64)
     flat = words.values.slice(bounds[0], bounds[-1] - bounds[0])
     bounds = bounds - bounds[0]
     coded = flat.dictionary_encode()
     at = np.asarray(coded.indices)
-    ids, starts = vocabulary.encode_words(coded.dictionary.to_pylist())
+    ids, begin, count = known.runs(vocabulary, coded.dictionary)
     # Join by position: word k of the text gets the run of ids that its distinct word has.
-    counts = np.diff(starts)[at]
+    counts = count[at]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    place = np.repeat(starts[:-1][at] - ends[:-1], counts)
+    place = np.repeat(begin[at] - ends[:-1], counts)
     place += np.arange(ends[-1])
     return ids[place], ends[bounds]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``ids``, an array of the text's token ids."""
-    sent, schema, keep = _sent(docs, path, text, keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
+    sent, split = _sent(docs, path, text, keep, table_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary, known = Vocabulary(sent.value[0]), WordTable(*sent.value[1:])
         for batch in word_blocks(batches):
-            ids, bounds = _encoded(vocabulary, batch.column("__words"))
+            ids, bounds = _encoded(vocabulary, known, batch.column("__words"))
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], column], [*keep, "ids"])
 
-    return schema.mapInArrow(run, _types(docs, keep) + "ids array<int>")
+    return split.mapInArrow(run, _types(docs, keep) + "ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but ids by default) with ``decoded``, the text of the ids; null counts as no ids."""
-    keep = [c for c in tokens.columns if c != ids] if keep is None else keep
+    keep = [c for c in (tokens.columns if keep is None else keep) if c.lower() != "decoded" and (keep is not None or c != ids)]
     sent = tokens.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +237,16 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", keep: list[str] | Non
     return filled.mapInArrow(run, _types(tokens, keep) + "decoded string")
 
 
-def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, without the ids ever being rows of Spark."""
-    sent, schema, keep = _sent(docs, path, text, [doc_id])
-    types = f"{_types(docs, keep)}n_tokens long, ids_sha256 string, decoded_sha256 string"
+    sent, split = _sent(docs, path, text, [doc_id], table_words)
+    types = f"{_types(docs, [doc_id])}n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary, known = Vocabulary(sent.value[0]), WordTable(*sent.value[1:])
         written = pa.array([f"{i},".encode() for i in range(len(vocabulary.pieces))], pa.large_binary())
         for batch in word_blocks(batches):
-            ids, bounds = _encoded(vocabulary, batch.column("__words"))
+            ids, bounds = _encoded(vocabulary, known, batch.column("__words"))
             out: list[list] = [[], []]
             for k, (values, cut) in enumerate(((written, 1), (vocabulary.pieces, 0))):
                 data, ends = _gathered(values, ids)
@@ -208,7 +259,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
             columns = [batch.column(doc_id), pa.array(np.diff(bounds)), pa.array(out[0]), pa.array(out[1])]
             yield pa.RecordBatch.from_arrays(columns, [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return schema.mapInArrow(run, types)
+    return split.mapInArrow(run, types)
 
 
 def read_vocabulary(path: str) -> str:
@@ -220,11 +271,13 @@ def _types(docs: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
 
 
-def _sent(docs: DataFrame, path: str, text: str, keep: list[str] | None):
+def _sent(docs: DataFrame, path: str, text: str, keep: list[str], table_words: int) -> tuple[Broadcast, DataFrame]:
+    """Vocabulary and word table for the tasks, and the rows with their words."""
     source = read_vocabulary(path)
     special = [t["content"] for t in json.loads(source)["added_tokens"]]
-    keep = docs.columns if keep is None else keep
-    return docs.sparkSession.sparkContext.broadcast(source), docs.select(*keep, split_words(F.col(text), special).alias("__words")), keep
+    split = docs.select(*keep, split_words(F.col(text), special).alias("__words"))
+    words = common_words(split, table_words)
+    return docs.sparkSession.sparkContext.broadcast((source, words, *Vocabulary(source).encode_words(words))), split
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ seed and its id lies under the rate's fraction. So a document's copies depend on
 alone: a rerun, another partitioning or a lost executor gives the same copies.
 
 Null texts have size 0, a null source is a source of its own (last in order), ids that repeat get the same copies.
-A source without words gets no copies. An empty table gives an empty mix.
+A source without words gets no copies. An empty table gives an empty mix. Very long texts are only counted, where they
+stand; rows that repeat are rows of their own. Further columns may have any name: ``mixed`` returns them as they were,
+``plan_mix`` doesn't read them.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def plan_mix(
     sizes = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
     rates = _rates(sizes, weights, share, cap)
     return sizes.join(rates, sizes["source"].eqNullSafe(rates["of"]), "left").select(
-        "doc_id", "source", "size", "source_size", "target", "rate", copies(F.col("doc_id"), seed).alias("copies")
+        "doc_id", "source", "size", "source_size", "target", "rate", copies(F.col("doc_id"), seed, F.col("rate")).alias("copies")
     )
 
 
@@ -97,21 +99,31 @@ def _rates(sizes: DataFrame, weights: Sequence[float], share: float, cap: float)
     return targets.withColumn("rate", rate).withColumnRenamed("source", "of")
 
 
-def copies(doc_id: Column, seed: int) -> Column:
-    whole = F.floor(F.col("rate"))
-    return (whole + (chance(doc_id, seed) < F.col("rate") - whole).cast("int")).cast("int")
+def copies(doc_id: Column, seed: int, rate: Column) -> Column:
+    whole = F.floor(rate)
+    return (whole + (chance(doc_id, seed) < rate - whole).cast("int")).cast("int")
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 20) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; the columns stay as they are.
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 20,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; the columns stay as they are, whatever their names.
 
     The documents meet the small table of sources only: Spark broadcasts it if it measures under its threshold, else
     it joins by source and splits the hot ones.
     """
-    sizes = materialise(docs.select("source", word_count(F.col("text")).alias("size")), "sizes")
-    rates = _rates(sizes, weights, share, cap).select("of", "rate")
-    taken = docs.join(rates, docs["source"].eqNullSafe(rates["of"]), "left").withColumn("__copies", copies(docs["doc_id"], seed))
-    again = taken.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    sizes = materialise(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    rates = _rates(sizes, weights, share, cap).select(F.col("of").alias("__mix_of"), F.col("rate").alias("__mix_rate"))
+    taken = docs.join(rates, docs[source].eqNullSafe(rates["__mix_of"]), "left")
+    number = copies(docs[doc_id], seed, F.col("__mix_rate"))
+    again = taken.withColumn("__mix_copy", F.explode(F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>"))))
     return again.select(*[docs[c] for c in docs.columns])
 
 

@@ -21,13 +21,17 @@ def odd_texts():
     pool = list(" \n\t'stmrevlda1.٣é日 　🙂_-") + ["<|endoftext|>", "  ", "'ll", "word "]
     out = ["", None, "   ", "a<|endoftext|>b", "foo  <|endoftext|>  bar\n\n", "<|endoftext|>" * 2, "a\u0085b c d\x1ce\x1f", "x" * 5000, " " * 3000 + "a", "�\x00\x01", "a", "a"]
     out += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    # Letters that came into Unicode after version 13, and code points that are in none.
+    later = [0x31350, 0x10570, 0x1E290, 0x11F04, 0x1DF00, 0x2EBF0, 0x1E4D0, 0x10EC2, 0x1C89, 0x1E030, 0x0378, 0xE0080]
+    out += [form.format(chr(c)) for c in later for form in ("x{0}'s", "{0}", "a {0}{0}'ll\n {0}1 <|endoftext|>  b", "\n{0}\n\n word word", "{0}  ")]
     return out + ["".join(map(chr, range(a, a + 64))) for a in range(0, 0x3000, 64)]
 
 
-def test_digests_equal_the_library(spark, library):
+@pytest.mark.parametrize("table_words", [1 << 18, 40, 0])
+def test_digests_equal_the_library(spark, library, table_words):
     texts = odd_texts()
     docs = spark.createDataFrame([(i if i else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(5)
-    got = {r.doc_id: r for r in bpe.digests(docs, PATH).collect()}
+    got = {r.doc_id: r for r in bpe.digests(docs, PATH, table_words=table_words).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -48,6 +52,23 @@ def test_ids_and_texts_round_trip(spark, library):
     assert bpe.digests(docs.limit(0), PATH).count() == 0
 
 
+def test_results_replace_columns_of_their_names_and_others_stay(spark, library):
+    rows = [(1, "x", 5, "a b c " * 60_000, "k"), (2, "y", None, None, None)]  # 360,000 characters
+    docs = spark.createDataFrame(rows, "doc_id long, ids string, decoded int, text string, __word string")
+    encoded = bpe.encode(docs, PATH)
+    assert encoded.columns == ["doc_id", "decoded", "text", "__word", "ids"]
+    decoded = bpe.decode(encoded, PATH)
+    assert decoded.columns == ["doc_id", "text", "__word", "decoded"]
+    assert {(r.doc_id, r.decoded, r["__word"]) for r in decoded.collect()} == {(1, rows[0][3], "k"), (2, "", None)}
+
+
+def test_the_table_has_the_words_of_most_rows(spark):
+    lists = [["a", "b", "a"], ["a", "b"], ["a", "c"], ["d", "d", "d"], []]
+    words = spark.createDataFrame([(x,) for x in lists], "__words array<string>")
+    assert sorted(bpe.common_words(words)) == ["a", "b"]
+    assert bpe.common_words(words, 1) == ["a"] and bpe.common_words(words, 0) == [] == bpe.common_words(words.limit(0))
+
+
 def test_decoding_pieces_of_characters_and_nulls(spark, library):
     half = library.encode("🙂", add_special_tokens=False).ids[:1]
     rows = spark.createDataFrame([(1, half), (2, None), (3, []), (4, [50256])], "k int, ids array<int>")
