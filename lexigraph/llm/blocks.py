@@ -7,14 +7,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Rows worked on at once inside a batch.
-BLOCK = 1024
+#: Rows, and bytes of their texts, worked on at once inside a batch.
+BLOCK, BLOCK_BYTES = 1024, 1 << 23
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[pa.RecordBatch]:
+def _sizes(column: pa.Array) -> np.ndarray | int:
+    """Bytes of each value of a column of texts or bytes; nothing for other columns."""
+    kind = column.type
+    if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        offsets = np.int64
+    elif pa.types.is_string(kind) or pa.types.is_binary(kind):
+        offsets = np.int32
+    else:
+        return 0
+    found = column.buffers()[1]
+    return np.diff(np.frombuffer(found, offsets)[column.offset : column.offset + len(column) + 1]).astype(np.int64) if found is not None and len(column) else 0
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BLOCK, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of up to ``rows`` rows with about ``most`` bytes of texts; a longer text is a part alone."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        total = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            total += _sizes(column)
+        ends = np.cumsum(total)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -1,13 +1,19 @@
 """Media columns: GIF files stored in and read from binary columns.
 
-``decode_gif`` reads any GIF: LZW code streams, global and local palettes, interlacing. ``rendered`` applies frame
-offsets, transparency and disposal and gives the timed canvases, ``frames`` stores them as rows with colour histograms.
-``encode_gif`` writes frames whose pixels are palette indices; bytes of any kind are stored losslessly as such.
+``encode_gif`` writes frames whose pixels are palette indices as LZW code streams with a growing table; bytes of any
+kind are stored losslessly as such. ``decode_gif`` reads any GIF: LZW code streams, global and local palettes,
+interlacing. ``rendered`` applies frame offsets, transparency and disposal and gives the timed canvases, and a media
+column's frames are stored as a column of timed frames with colour histograms (``read``), or a row each (``frames``).
 
-The decoder works on whole code streams: the width of the k-th code after a clear depends on k alone, so codes are cut
-out together, and a code's string is a copy of earlier output, so strings are resolved by following copies to literals.
+A payload is shown by frames of 192 x 32 pixels, one after the other on one canvas. They go through all kinds of
+disposal, and a pixel that the canvas shows already is written as transparent, so the payload is read back from the
+rendered canvas only.
 
-Null media and bytes that are no GIF have no frames. Memory is bounded by a block's files and one canvas of each.
+The decoder cuts codes out together, as the width of the k-th code after a clear depends on k alone.
+
+Null media and bytes that are no GIF, or whose streams are cut short, have no frames; null texts are empty. Rows that
+repeat give equal values, an empty table gives an empty one. Of further columns none is read, whatever its name. Memory
+is bounded by a block's texts and files, in bytes, and one canvas of each; a very long text is a block alone.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigraph.llm.blocks import sliced, texts
 from lexigraph.llm.scratch import table
@@ -28,7 +35,9 @@ from lexigraph.llm.scratch import table
 #: Palette of payloads: three bits of red, three of green, two of blue, so that colours give their indices back.
 INDEX = np.arange(256)
 PAYLOAD_PALETTE = np.stack([(INDEX >> 5) * 255 // 7, (INDEX >> 2 & 7) * 255 // 7, (INDEX & 3) * 85], axis=1).astype(np.uint8)
-WIDTH, ROWS, DELAY = 192, 256, 10
+WIDTH, ROWS, DELAY = 192, 32, 10
+#: Kinds of disposal that a payload's frames go through.
+DISPOSALS = (1, 3, 2, 0)
 BINS = 64
 
 
@@ -54,27 +63,52 @@ class Gif:
 # Writing
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Nine-bit codes, lowest bit first: eight codes make nine bytes."""
-    n = -(-len(codes) // 8)
-    c = np.zeros((n, 10), np.uint16)  # columns 1 to 8 hold the codes, the outer ones stay empty
-    full = np.zeros(n * 8, np.uint16)
-    full[: len(codes)] = codes
-    c[:, 1:9] = full.reshape(n, 8)
-    k = np.arange(9, dtype=np.uint16)
-    out = (c[:, :9] >> (9 - k)) | (c[:, 1:] << k)
-    return out.astype(np.uint8).tobytes()[: -(-len(codes) * 9 // 8)]
+def lzw_codes(pixels: bytes) -> list[int]:
+    """The codes of eight-bit pixels: a clear, the longest known strings, a clear whenever the table is full, the end."""
+    codes, known, following = [256], {}, 258
+    put = codes.append
+    if pixels:
+        word = pixels[0]
+        for p in pixels[1:]:
+            pair = word << 8 | p
+            if pair in known:
+                word = known[pair]
+                continue
+            put(word)
+            known[pair] = following
+            following += 1
+            word = p
+            if following == 4096:
+                put(256)
+                known, following = {}, 258
+        put(word)
+    put(257)
+    return codes
+
+
+def _widths(places: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the codes at ``places`` after a clear: the reader's table has an entry for each code but the first."""
+    following = (1 << size) + 2 + np.maximum(0, places - 1)
+    widths = np.full(len(places), size + 1)
+    for w in range(size + 1, 12):
+        widths[following >= 1 << w] = w + 1
+    return widths
 
 
-def lzw_literals(pixels: np.ndarray) -> bytes:
-    """A code stream of literals: a clear before every 254 of them keeps all codes nine bits wide."""
-    n = len(pixels)
-    groups = max(1, -(-n // 254))
-    codes = np.full((groups, 255), 256, np.uint16)
-    flat = np.zeros(groups * 254, np.uint16)
-    flat[:n] = pixels
-    codes[:, 1:] = flat.reshape(groups, 254)
-    return _packed(np.append(codes.reshape(-1)[: n + groups], np.uint16(257)))
+def lzw_encode(pixels: bytes) -> bytes:
+    """The code stream of eight-bit pixels, lowest bit first."""
+    codes = np.array(lzw_codes(pixels), np.uint32)
+    k = np.arange(len(codes))
+    after = np.maximum.accumulate(np.where(codes == 256, k, -1))  # the last clear, or the place itself
+    before = np.concatenate([[-1], after[:-1]])  # the last clear before each code
+    widths = np.where(before < 0, 9, _widths(k - before - 1, 8))
+    ends = np.cumsum(widths)
+    starts = ends - widths
+    bits = codes << (starts & 7).astype(np.uint32)
+    byte, n = starts >> 3, (int(ends[-1]) + 7) // 8 + 3
+    # No two codes share a bit, so sums are unions.
+    out = sum(np.bincount(byte + i, (bits >> np.uint32(8 * i)) & 255, n) for i in range(3))
+    return out.astype(np.uint8).tobytes()[: (int(ends[-1]) + 7) // 8]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -98,33 +132,16 @@ def encode_gif(gif: Gif) -> bytes:
         parts.append(struct.pack("<BHHHHB", 0x2C, f.x, f.y, w, h, 0x87 if f.palette is not None else 0))
         if f.palette is not None:
             parts.append(f.palette.tobytes())
-        parts += [b"\x08", _blocks(lzw_literals(f.pixels.reshape(-1)))]
+        parts += [b"\x08", _blocks(lzw_encode(f.pixels.tobytes()))]
     return b"".join([*parts, b";"])
 
 
 # Reading
 
 
-def _same_width(data: np.ndarray, width: int) -> np.ndarray:
-    """All codes of the stream, read as if none were wider: eight codes in ``width`` bytes."""
-    n = len(data) * 8 // width
-    groups = -(-len(data) // width)
-    padded = np.zeros(groups * width + 2, np.uint8)
-    padded[: len(data)] = data
-    at = np.arange(8) * width
-    rows = np.lib.stride_tricks.as_strided(padded, (groups, width + 2), (width, 1)).astype(np.uint32)
-    byte = at >> 3
-    codes = (rows[:, byte] | rows[:, byte + 1] << 8 | rows[:, byte + 2] << 16) >> (at & 7).astype(np.uint32)
-    return (codes & ((1 << width) - 1)).reshape(-1)[:n]
-
-
 def _widening(data: np.ndarray, bit: int, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Up to ``most`` codes from ``bit`` on, directly after a clear, and the bit after each."""
-    k = np.arange(most)
-    following = (1 << size) + 2 + np.maximum(0, k - 1)
-    widths = np.full(most, size + 1)
-    for w in range(size + 1, 12):
-        widths[following >= 1 << w] = w + 1
+    widths = _widths(np.arange(most), size)
     ends = bit + np.cumsum(widths)
     n = int(np.searchsorted(ends, len(data) * 8, "right"))
     widths, ends = widths[:n], ends[:n]
@@ -135,50 +152,43 @@ def _widening(data: np.ndarray, bit: int, size: int, most: int) -> tuple[np.ndar
     return codes & ((1 << widths) - 1).astype(np.uint32), ends
 
 
-def _strings(codes: np.ndarray, size: int) -> np.ndarray:
+def _strings(codes: np.ndarray, size: int) -> bytes:
     """The pixels of the codes between two clears."""
-    first = (1 << size) + 2
-    if not len(codes) or codes.max() < first:
-        return codes.astype(np.uint8)
-    # Entry first + r is the string of code r and the pixel after it: a copy of what code r put out and one pixel more.
-    refs = (codes.astype(np.int64) - first).tolist()
-    lengths = []
-    for j, r in enumerate(refs):
-        if r >= j:
-            raise ValueError("a code before its entry")
-        lengths.append(1 if r < 0 else lengths[r] + 1)
-    sizes = np.array(lengths)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    ref = np.array(refs)
-    literal = ref < 0
-    target = np.where(literal, starts, starts[np.maximum(ref, 0)])
-    source = np.repeat(target - starts, sizes) + np.arange(ends[-1])
-    while True:  # follow copies of copies; each step doubles the distance
-        further = source[source]
-        if np.array_equal(further, source):
-            break
-        source = further
-    values = np.zeros(ends[-1], np.uint8)
-    values[starts[literal]] = codes[literal]
-    return values[source]
+    if not len(codes):
+        return b""
+    clear = 1 << size
+    known = [bytes([i]) if i < 256 else b"" for i in range(clear)] + [b"", b""]
+    grow = known.append
+    codes = codes.tolist()
+    if codes[0] >= clear:
+        raise ValueError("a code before its entry")
+    last = known[codes[0]]
+    out = [last]
+    put = out.append
+    for code in codes[1:]:
+        if len(known) < 4096:
+            # The new entry is the last string and the first pixel of this one, which may be the entry itself.
+            if code < len(known):
+                word = known[code]
+                grow(last + word[:1])
+            elif code == len(known):
+                word = last + last[:1]
+                grow(word)
+            else:
+                raise ValueError("a code before its entry")
+        else:
+            word = known[code]
+        put(word)
+        last = word
+    return b"".join(out)
 
 
 def lzw_decode(data: bytes, size: int) -> np.ndarray:
     """The pixels of a code stream whose smallest code size is ``size``."""
-    if not 1 <= size <= 11:
+    if not 2 <= size <= 8:
         raise ValueError("code size")
     stream = np.frombuffer(data, np.uint8)
-    clear, width = 1 << size, size + 1
-    codes = _same_width(stream, width)
-    over = np.flatnonzero(codes == clear + 1)
-    clears = np.flatnonzero(codes == clear)
-    if len(clears) and clears[0] == 0 and len(over):
-        end = over[0]
-        clears = clears[clears < end]
-        # No code was wider if each clear, and the end, came before the table needed another bit.
-        if np.diff(np.append(clears, end)).max() < (1 << width) - clear and codes[:end].max() <= clear:
-            return np.delete(codes[:end], clears).astype(np.uint8)
+    clear = 1 << size
     out, bit = [], 0
     while True:
         most = 4096
@@ -191,7 +201,7 @@ def lzw_decode(data: bytes, size: int) -> np.ndarray:
         n = int(stops[0]) if len(stops) else len(codes)
         out.append(_strings(codes[:n], size))
         if not len(stops) or codes[n] == clear + 1:
-            return np.concatenate(out)
+            return np.frombuffer(b"".join(out), np.uint8)
         bit = int(ends[n])
 
 
@@ -245,9 +255,9 @@ def _decode_gif(data: bytes) -> Gif:
             size = data[at]
             at += 1
             found = lzw_decode(blocks(), size)
-            pixels = np.zeros(w * h, np.uint8)
-            pixels[: min(len(found), w * h)] = found[: w * h]
-            pixels = pixels.reshape(h, w)
+            if len(found) < w * h:
+                raise ValueError("cut short")
+            pixels = found[: w * h].reshape(h, w)
             if flags & 0x40:
                 rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 woven = np.empty_like(pixels)
@@ -306,22 +316,47 @@ def padded(payload: bytes) -> bytes:
 
 
 def payload_gif(payload: bytes) -> bytes:
-    """A GIF of the bytes of a padded payload: up to 256 rows of 192 pixels a frame."""
+    """A GIF of the bytes of a padded payload: up to 32 rows of 192 pixels a frame."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     gif = Gif(WIDTH, min(ROWS, len(rows)), PAYLOAD_PALETTE)
-    gif.frames = [Frame(rows[i : i + ROWS], delay=DELAY, disposal=1) for i in range(0, len(rows), ROWS)]
+    shown = np.full((gif.height, WIDTH), -1, np.int16)  # what the canvas shows; -1 is nothing
+    for i in range(0, len(rows), ROWS):
+        own = rows[i : i + ROWS]
+        unused = np.flatnonzero(np.bincount(own.reshape(-1), minlength=256) == 0)
+        same = shown[: len(own)] == own
+        # 255 is in no UTF-8 text; in a payload that has all values, nothing is transparent.
+        transparent = int(unused[-1]) if len(unused) and same.any() else None
+        pixels = own if transparent is None else np.where(same, np.uint8(transparent), own)
+        disposal = DISPOSALS[i // ROWS % len(DISPOSALS)]
+        gif.frames.append(Frame(pixels, delay=DELAY, disposal=disposal, transparent=transparent))
+        if disposal != 3:
+            shown[: len(own)] = -1 if disposal == 2 else own
     return encode_gif(gif)
 
 
-def payload_of(gif: Gif) -> tuple[bytes, np.ndarray, int]:
-    """The payload by the colours of the rendered frames, the histogram over all frames, and the playing time in ms."""
-    parts, total, end = [], np.zeros(BINS, np.int64), 0
+def read_payload(gif: Gif) -> tuple[bytes, list[dict]]:
+    """The payload by the colours of the rendered frames, and the timed frames with their colour histograms."""
+    parts, out = [], []
     for f, (start, delay, colours, drawn) in zip(gif.frames, rendered(gif), strict=True):
-        own = colours[: f.pixels.shape[0]]
+        own, ink = colours[: f.pixels.shape[0]], drawn[: f.pixels.shape[0]]
+        if not ink.all():
+            raise ValueError("a payload without all its pixels")
         parts.append(((own[..., 0] >> 5) << 5 | (own[..., 1] >> 5) << 2 | own[..., 2] >> 6).tobytes())
-        total += colour_histogram(own, drawn[: f.pixels.shape[0]])
-        end = start + delay
-    return b"".join(parts), total, end
+        out.append(_timed(gif, f, start, delay, own, ink))
+    return b"".join(parts), out
+
+
+def _timed(gif: Gif, f: Frame, start: int, delay: int, colours: np.ndarray, drawn: np.ndarray) -> dict:
+    values = (start, delay, gif.width, gif.height, f.disposal, f.transparent, int(drawn.sum()), colour_histogram(colours, drawn))
+    return dict(zip(TIMED.names, values, strict=True))
+
+
+#: A timed frame; histogram has the drawn pixels in each of 64 colour bins.
+TIMED = pa.struct(
+    [(c, pa.int32()) for c in ("start_ms", "delay_ms", "width", "height", "disposal", "transparent")]
+    + [("drawn", pa.int64()), ("histogram", pa.list_(pa.int64()))]
+)
+TIMED_TYPE = "array<struct<start_ms:int,delay_ms:int,width:int,height:int,disposal:int,transparent:int,drawn:bigint,histogram:array<bigint>>>"
 
 
 def stored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -338,49 +373,58 @@ def stored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 
 def frames(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
-    """A row per frame: key, frame, start_ms, delay_ms, width, height, drawn (pixels) and histogram (64 colour bins)."""
+    """A row per frame: key, frame (from 0), and the fields of a timed frame, for each GIF of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 64):
-            out: list[tuple] = []
-            for k, data in zip(batch.column("key").to_pylist(), batch.column("media").to_pylist(), strict=True):
+        for batch in sliced(batches):
+            out = []
+            for data in batch.column("media").to_pylist():
                 try:
                     gif = decode_gif(data or b"")
-                    shown = [(start, delay, int(drawn.sum()), colour_histogram(colours, drawn)) for start, delay, colours, drawn in rendered(gif)]
+                    out.append([_timed(gif, f, *shown) for f, shown in zip(gif.frames, rendered(gif), strict=True)])
                 except ValueError:
-                    continue
-                out += [(k, i, s, d, gif.width, gif.height, n, h) for i, (s, d, n, h) in enumerate(shown)]
-            names = ["key", "frame", "start_ms", "delay_ms", "width", "height", "drawn", "histogram"]
-            kinds = [batch.schema.field("key").type, *[pa.int32()] * 5, pa.int64(), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                    out.append([])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(TIMED))], ["key", "frames"])
 
     kind = media.schema[key].dataType.simpleString()
-    types = f"key {kind}, frame int, start_ms int, delay_ms int, width int, height int, drawn long, histogram array<long>"
-    return media.select(media[key].alias("key"), media[column].alias("media")).mapInArrow(run, types).withColumnRenamed("key", key)
+    found = media.select(media[key].alias("key"), media[column].alias("media")).mapInArrow(run, f"key {kind}, frames {TIMED_TYPE}")
+    return found.select("key", F.posexplode("frames").alias("frame", "f")).select("key", "frame", "f.*").withColumnRenamed("key", key)
 
 
-def features(media: DataFrame) -> DataFrame:
-    """The stored payloads of ``stored`` read back: digests of payload and file, and a feature of the frames' colours."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def read(media: DataFrame) -> DataFrame:
+    """The payloads of ``stored`` read back: digests of payload and file, and the column of timed frames."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches):
             out = []
             for data in batch.column("media").to_pylist():
-                gif = decode_gif(data)
-                payload, histogram, ms = payload_of(gif)
-                bins = ",".join(f"{b}:{histogram[b]}" for b in np.flatnonzero(histogram))
-                feature = f"frames={len(gif.frames)};ms={ms};size={gif.width}x{gif.height};colours={bins}"
-                digest, crc = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
-                out.append((len(payload), digest, crc, len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                payload, timed = read_payload(decode_gif(data))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), timed))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(TIMED)]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    types = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, {types}")
+    types = f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames {TIMED_TYPE}"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, {types}")
+
+
+def feature(frames_: str) -> Column:
+    """Number, playing time and size of the timed frames, and the colour bins over all of them."""
+    none = F.array_repeat(F.lit(0).cast("long"), BINS)
+    total = F.aggregate(frames_, none, lambda n, f: F.zip_with(n, f["histogram"], lambda a, b: a + b))
+    shown = F.filter(F.transform(total, lambda n, i: F.when(n > 0, F.concat_ws(":", i.cast("string"), n.cast("string")))), lambda x: x.isNotNull())
+    ms = F.aggregate(frames_, F.lit(0), lambda n, f: n + f["delay_ms"])
+    first = F.get(F.col(frames_), F.lit(0))
+    return F.concat(
+        F.lit("frames="), F.size(frames_), F.lit(";ms="), ms, F.lit(";size="), first["width"], F.lit("x"), first["height"], F.lit(";colours="), F.array_join(shown, ",")
+    )
+
+
+def features(media: DataFrame) -> DataFrame:
+    """``read`` with the feature of the timed frames in their place."""
+    return read(media).withColumn("feature", feature("frames")).drop("frames")
 
 
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

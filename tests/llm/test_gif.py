@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,11 +56,15 @@ def test_lzw_against_plain_encoder(size, deferred):
         assert G.lzw_decode(compressed(pixels, size, deferred), size).tolist() == pixels
 
 
-def test_literal_streams_round_trip():
+def test_streams_equal_the_plain_encoder_and_round_trip():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 8, 253, 254, 255, 508, 509, 5000):
-        pixels = rng.integers(0, 256, n).astype(np.uint8)
-        assert np.array_equal(G.lzw_decode(G.lzw_literals(pixels), 8), pixels)
+    for n, values in ((0, 1), (1, 1), (2, 1), (253, 256), (3000, 256), (5000, 1), (30_000, 3), (30_000, 40), (60_000, 256)):
+        pixels = rng.integers(0, values, n).astype(np.uint8)
+        stream = G.lzw_encode(pixels.tobytes())
+        assert np.array_equal(G.lzw_decode(stream, 8), pixels)
+        if len(G.lzw_codes(pixels.tobytes())) < 3800:  # the plain encoder clears a full table one code later
+            assert stream == compressed(pixels.tolist(), 8)
+    assert max(G.lzw_codes(b"to be or not to be, " * 50)) > 257  # strings, not literals only
 
 
 def two_frames(disposal, transparent=None):
@@ -115,5 +120,45 @@ def test_payloads_round_trip(spark):
         assert (r.payload_bytes, r.payload_sha256) == (len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
     assert found[(1, 0)].feature == found[(2, 0)].feature
-    assert found[(6, 60_000)].feature.startswith("frames=2;")
+    assert found[(6, 60_000)].feature.startswith("frames=10;ms=1000;size=192x32;")
     assert G.features(G.stored(docs.limit(0))).count() == 0
+
+
+def test_media_and_feature_against_brute_force(spark):
+    rng = random.Random(2)
+    texts = ["", "a b " * 20, "".join(rng.choice("ab \n") for _ in range(40_000)), "".join(rng.choice("aé日🙂") for _ in range(9000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    media = G.stored(docs)
+    files = {r.doc_id: bytes(r.media) for r in media.collect()}
+    timed = {}
+    for r in G.frames(media).collect():
+        timed.setdefault(r.doc_id, []).append(r)
+    for r in G.features(media).collect():
+        payload = G.padded(texts[r.doc_id].encode())
+        n = -(-len(payload) // (192 * 32))
+        bins = Counter()
+        for x in payload:  # the colour of a byte, two bits a channel
+            red, green, blue = (x >> 5) * 255 // 7, (x >> 2 & 7) * 255 // 7, (x & 3) * 85
+            bins[(red >> 6) << 4 | (green >> 6) << 2 | blue >> 6] += 1
+        shown = ",".join(f"{k}:{v}" for k, v in sorted(bins.items()))
+        assert r.feature == f"frames={n};ms={100 * n};size=192x{min(32, len(payload) // 192)};colours={shown}"
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        found = sorted(timed[r.doc_id], key=lambda f: f.frame)
+        assert [f.start_ms for f in found] == [100 * i for i in range(n)] and [f.disposal for f in found] == [(1, 3, 2, 0)[i % 4] for i in range(n)]
+        assert [f.transparent is not None for f in found][:4] == [False, True, True, False][:n]
+    assert len(files[1]) < 2000 and len(files[2]) < 20_000  # 781 bytes are the header and the palette
+
+
+def test_payload_of_all_values_and_streams_cut_short():
+    rng = np.random.default_rng(3)
+    payload = np.concatenate([rng.permutation(256) for _ in range(192)]).astype(np.uint8).tobytes()
+    assert G.read_payload(G.decode_gif(G.payload_gif(payload)))[0] == payload
+    data = G.payload_gif(G.padded(b"word " * 500))
+    for cut in (len(data) - 3, len(data) // 2, 800, 20):
+        with pytest.raises(ValueError):
+            G.decode_gif(data[:cut])
+    short = G.Gif(4, 4, G.PAYLOAD_PALETTE, [G.Frame(np.zeros((4, 4), np.uint8))])
+    data = bytearray(G.encode_gif(short))
+    data[13 + 768 + 8 + 5] = 200  # a frame that says to be wider than its stream
+    with pytest.raises(ValueError):
+        G.decode_gif(bytes(data))
