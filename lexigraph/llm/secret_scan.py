@@ -1,19 +1,23 @@
 """Secret scans in DataFrame operations only: fixed patterns, and Markov models of characters for the rest.
 
 Two first-order Markov chains over the characters of keys are trained from labelled samples: one on random strings
-(the values that the fixed patterns find), one on ordinary identifiers (all other tokens). A run of key characters
-whose log-likelihood ratio per transition favours the random chain is a secret too; if the whole run doesn't, as in a
-path or URL, its parts between separators are scored alone. What lies beside a fixed pattern's span is a run of its
-own. A short run needs the same sum as one of FULL characters. Both chains are counted in Spark; what
-reaches the driver has at most twice the square of the alphabet's rows.
-
-Null and empty texts have no spans. Positions are code points, ends exclusive. Without any labelled random string the
-random chain is uniform, which is what random strings look like.
+(generated ones, and the values that the fixed patterns find), one on ordinary identifiers (all other tokens). A run of
+key characters whose log-likelihood ratio per transition favours the random chain is a secret too; if the whole run
+doesn't, as in a path or URL, its parts between separators are scored alone. The fixed patterns' matches are blanked
+first, one kind after the other, so what lies beside them is a run of its own. A short run needs the same sum as one of
+FULL characters. Both chains are counted in Spark; what reaches the driver has at most twice the square of the
+alphabet's rows.
+
+Null and empty texts have no spans, repeated rows have equal ones, an empty table gives an empty result. Positions are
+code points, ends exclusive. A very long text is scanned whole, in time that grows with its length and its matches.
+Without any labelled random string the random chain is uniform, which is what random strings look like. Columns other
+than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,66 +36,126 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 #: Expected number of documents whose ordinary tokens are trained on; the sample is drawn by a hash of the id.
 TRAINING_DOCS = 2000
-#: Random strings that the chain is trained on, at most, from all documents.
-TRAINING_STRINGS = 5000
+#: Random strings that the chain is trained on, at most, from all documents, and generated ones besides.
+TRAINING_STRINGS, GENERATED = 5000, 500
+#: Matches that are summed up at once.
+STEP = 256
 #: Least log-likelihood ratio, in nats per transition, of a secret, and least number of different characters.
 MARGIN, DISTINCT = 0.6, 8
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """start, end and characters of the matches of ``pattern``, from the lengths of the pieces between them."""
-    steps = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-    )
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` reckoned once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _before(lengths: Column) -> Column:
+    """For each length of an array the sum of those before it.
+
+    A fold that appends copies its array at each step, so it runs over STEP lengths at a time, after one over their sums.
+    """
+    none = F.array().cast("array<int>")
+
+    def sums(values: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STEP).cast("int")), lambda k: F.slice(lengths, k * STEP + 1, F.lit(STEP)))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
+    return _let(chunks, lambda c: F.flatten(F.zip_with(c, sums(F.transform(c, total), F.lit(0)), sums)))
+
+
+PIECES = "array<struct<gap:string,match:string,value:string>>"
+
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+def _pieces(text: Column, pattern: str, group: int = 0) -> Column:
+    """The matches of ``pattern`` with the text before each and the value of ``group``; last the rest, with no match."""
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group)]
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found[0].alias("match"), found[1].alias("value")).cast(PIECES)
 
-    return F.aggregate(steps, nothing, step, lambda state: state["found"])
+
+def _located(pieces: Column) -> Column:
+    """start, end, match and value of each match."""
+
+    def spans(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+
+        def span(x: Column, before: Column) -> Column:
+            start = before + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"), x["value"].alias("value"))
+
+        return F.filter(F.zip_with(p, _before(lengths), span), lambda x: x["match"].isNotNull())
+
+    return _let(pieces, spans)
+
+
+def _blanked(pieces: Column, which: Callable[[Column], Column]) -> Column:
+    """The text of the pieces, with spaces for those matches that ``which`` says."""
+    shown = lambda x: F.when(which(x), F.repeat(F.lit(" "), F.length(x["match"]))).otherwise(x["match"])
+    return F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(shown(x), F.lit("")))), "")
 
 
 def _spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def _if_any(text: Column, pattern: str, spans: Column) -> Column:
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+def with_base_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` (t, not null) with assign, access, hex (spans of each fixed pattern) and rest (the text without them).
 
-
-def base_spans(text: Column) -> dict[str, Column]:
-    """The spans of each fixed pattern; text must not be null."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assigned = F.filter(F.arrays_zip(_located(text, ASSIGN).alias("at"), values.alias("value")), lambda x: F.length(x["value"]) >= 12)
-    return {
-        "assign": _if_any(text, ASSIGN, _spans(F.transform(assigned, lambda x: x["at"]), 0)),
-        # A run that starts too late for its length has no longer match either: the length can stand in the pattern.
-        "access": F.when(text.contains("AKIA"), _if_any(text, ACCESS, _spans(_located(text, ACCESS), 1))).otherwise(F.array().cast(SPAN)),
-        "hex": _if_any(text, HEX, _spans(_located(text, HEX), 2)),
-    }
+    Every kind's spans are those in the whole text. Each step's columns are used several times in the next, which
+    Catalyst then doesn't fold into one.
+    """
+    none = F.array().cast(PIECES)
+    passes = lambda x: F.length(x["value"]) >= 12
+    any_ = lambda column, pattern: F.col(column).rlike(pattern)
+    rows = rows.withColumn("a", F.when(any_("t", ASSIGN), _pieces(F.col("t"), ASSIGN, 2)).otherwise(none))
+    rows = rows.withColumn("rest", F.when(F.size("a") > 0, _blanked(F.col("a"), passes)).otherwise(F.col("t")))
+    rows = rows.withColumn("assign", F.when(F.size("a") > 0, _spans(F.filter(_located(F.col("a")), passes), 0)).otherwise(F.array().cast(SPAN)))
+    # A run that starts too late for its length has no longer match either: the length can stand in the pattern.
+    kinds = (("access", ACCESS, 1, F.col("t").contains("AKIA")), ("hex", HEX, 2, any_("t", HEX)))
+    for kind, pattern, number, found in kinds:
+        spans = F.when(found & any_("t", pattern), _spans(_located(_pieces(F.col("t"), pattern)), number)).otherwise(F.array().cast(SPAN))
+        rows = rows.withColumn(kind, spans)
+        blanked = _blanked(_pieces(F.col("rest"), pattern), lambda x: F.lit(True))
+        rows = rows.withColumn("rest", F.when(F.size(kind) > 0, blanked).otherwise(F.col("rest")))
+    return rows.drop("a")
 
 
 def labelled_samples(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", training_docs: int = TRAINING_DOCS, training_strings: int = TRAINING_STRINGS
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    training_docs: int = TRAINING_DOCS,
+    training_strings: int = TRAINING_STRINGS,
+    generated: int = GENERATED,
 ) -> DataFrame:
-    """token, random (boolean): ``training_strings`` random strings of all documents, and other tokens of a hash sample of documents.
+    """token, random (boolean): random strings, and other tokens, and identifiers made of them, of a hash sample of documents.
 
-    The strings with the smallest hashes are taken. The sample has about ``training_docs`` documents, or all.
+    Random are ``generated`` strings of 43 characters made by hashes, and of the values that the fixed patterns find in
+    all documents those ``training_strings`` with the smallest hashes. The sample has about ``training_docs`` documents,
+    or all.
     """
     n = docs.count()
     share = min(1.0, training_docs / max(n, 1))
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = lambda pattern, group: F.when(F.col("t").rlike(pattern), F.regexp_extract_all("t", F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
     values = F.filter(F.concat(found(ASSIGN, 2), found(ACCESS, 0), found(HEX, 0)), lambda v: F.length(v) >= 12)
-    strings = rows.select("id", F.explode(values).alias("token")).orderBy(F.xxhash64("id", "token"), "token").limit(training_strings)
+    strings = rows.select("id", F.explode(values).alias("token")).orderBy(F.md5(F.concat_ws(":", "id", "token")), "token").limit(training_strings)
+    made = docs.sparkSession.range(generated).select(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("key:"), "id"), 256))), "=", "").alias("token"))
     others = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    tokens = chosen.select(F.explode(F.regexp_extract_all(others, F.lit(KEY + "{4,}"), F.lit(0))).alias("token"))
-    return strings.select("token", F.lit(True).alias("random")).unionByName(tokens.select("token", F.lit(False).alias("random")))
+    chosen = rows.where(F.conv(F.substring(F.md5("id"), 1, 5), 16, 10).cast("int") < int(share * (1 << 20)))
+    chosen = chosen.select(others.alias("t"))
+    # Prose has few identifiers, so every three words of it make one: with a separator, with capitals, or all in capitals.
+    words = F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0))
+    separator = lambda i: F.get(F.array(*[F.lit(c) for c in ("_", "-", "/", ".", "=", "", "", "_")]), i % 8)
+    cased = lambda w, i: F.when(i % 8 == 7, F.upper(w)).when(i % 8 >= 5, F.initcap(w)).otherwise(w)
+    word = lambda x, i, k: cased(F.get(x, F.lit(k)), i)
+    joined = lambda x, i: F.concat(word(x, i, 0), separator(i), word(x, i, 1), separator(i), word(x, i, 2))
+    places = lambda w: F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.floor(F.size(w) / 3).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    made_of = _let(words, lambda w: F.transform(places(w), lambda i: joined(F.slice(w, i * 3 + 1, F.lit(3)), i)))
+    tokens = chosen.select(F.explode(F.concat(F.regexp_extract_all("t", F.lit(KEY + "{4,}"), F.lit(0)), made_of)).alias("token"))
+    random = strings.select("token").unionByName(made).select("token", F.lit(True).alias("random"))
+    return random.unionByName(tokens.select("token", F.lit(False).alias("random")))
 
 
 def ratios(samples: DataFrame, backoff: float = 10.0) -> list[float]:
@@ -126,25 +190,19 @@ def log_ratio(token: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", doc_id: str = "doc_id", margin: float = MARGIN) -> DataFrame:
-    """doc_id, spans (start, kind, end in order of start, then KINDS) and n_<kind> for each row of ``docs``."""
-    t = F.col("t")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    base = base_spans(t)
-    rows = rows.select("doc_id", "t", F.concat(*[base[k] for k in KINDS[:3]]).alias("base"))
-    # The base spans are blanked, so that runs lie beside them.
-    blank = lambda left, b: F.overlay(left, F.repeat(F.lit(" "), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"])
-    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, F.aggregate("base", t, blank)).otherwise(t).alias("rest"))
+    """doc_id, base (spans of the fixed patterns), spans (all: start, kind, end in order of start, then KINDS), n_<kind>."""
+    rows = with_base_spans(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     # A candidate must be random by its letters and not merely repeat few characters.
     least = lambda x: F.lit(margin) * F.greatest(F.lit(1.0), F.lit(FULL - 1.0) / (F.length(x["match"]) - 1))
     odd = lambda x: (F.size(F.array_distinct(F.split(x["match"], ""))) >= DISTINCT) & (log_ratio(x["match"], model) > least(x))
-    moved = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["match"].alias("match"))
-    parts = lambda x: F.transform(F.filter(_located(x["match"], PART), odd), lambda y: moved(y, x["start"]))
-    secrets = lambda x: F.when(odd(x), F.array(moved(x, F.lit(0)))).when(x["match"].rlike("[/._=-]"), parts(x))
-    found = F.flatten(F.filter(F.transform(_located(F.col("rest"), LONG), secrets), lambda y: y.isNotNull()))
-    more = _if_any(F.col("rest"), LONG, _spans(found, 3))
-    rows = rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
-    number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return rows.select("doc_id", "base", "spans", *[number(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)])
+    moved = lambda x, by: F.struct((x["start"] + by).alias("start"), F.lit(3).alias("kind"), (x["end"] + by).alias("end"))
+    parts = lambda x: F.transform(F.filter(_located(_pieces(x["match"], PART)), odd), lambda y: moved(y, x["start"]))
+    secrets = lambda x: F.when(odd(x), F.array(moved(x, F.lit(0)))).when(x["match"].rlike("[/._=-]"), parts(x)).otherwise(F.array().cast(SPAN))
+    found = F.flatten(F.transform(_located(_pieces(F.col("rest"), LONG)), secrets))
+    rows = rows.withColumn("markov", F.when(F.col("rest").rlike(LONG), found).otherwise(F.array().cast(SPAN)))
+    base = F.array_sort(F.concat("assign", "access", "hex"))
+    rows = rows.select("doc_id", base.alias("base"), "markov", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS])
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", "markov")).alias("spans"), *[f"n_{kind}" for kind in KINDS])
 
 
 def spans_text(spans: str) -> Column:

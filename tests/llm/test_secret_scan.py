@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 from lexigraph.llm import secret_scan as S
 
@@ -68,8 +69,8 @@ def test_short_keys_keys_in_paths_and_keys_beside_base_spans(spark):
 
 def test_random_strings_are_taken_from_all_documents(spark):
     docs = spark.createDataFrame([(i, f"token={i:04d}zzzzzzzzzz" if i % 100 == 0 else "plain words") for i in range(1000)], "doc_id long, text string")
-    assert S.labelled_samples(docs, training_docs=10).where("random").count() == 10
-    assert S.labelled_samples(docs, training_docs=10, training_strings=4).where("random").count() == 4
+    assert S.labelled_samples(docs, training_docs=10, generated=0).where("random").count() == 10
+    assert S.labelled_samples(docs, training_docs=10, training_strings=4, generated=7).where("random").count() == 11
 
 
 def test_query_form_and_training_from_documents(spark):
@@ -79,3 +80,38 @@ def test_query_form_and_training_from_documents(spark):
     empty = docs.limit(0)
     assert S.scan(empty, S.ratios(S.labelled_samples(empty))).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_many_matches_in_a_very_long_text(spark):
+    """Time grows with the text: matches are located and blanked in linear passes."""
+    rng = random.Random(3)
+    text = " ".join(f"{rng.getrandbits(80):020x} and {rng.choice(['secret', 'plain'])}={rng.getrandbits(64):016x}" for _ in range(12_000))
+    docs = spark.createDataFrame([(1, text), (2, text[:1000]), (None, text[:1000])], "doc_id long, text string")
+    model = [0.0] * len(S.ALPHABET) ** 2
+    began = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in S.scan(docs, model).collect()}
+    assert time.time() - began < 60
+    assert got == {1: brute(text), 2: brute(text[:1000]), None: brute(text[:1000])}
+
+
+def test_chains_of_documents_find_planted_keys(spark):
+    """Trained by the samples of a table, tried on strings that no pattern and no sample has."""
+    model = S.ratios(S.labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    rng = random.Random(4)
+    words = "get set user account manager request handler response server client config index value buffer stream parser writer reader".split()
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = {
+        "base62": lambda: "".join(rng.choices(alnum, k=32)),
+        "base64": lambda: base64.b64encode(rng.randbytes(30)).decode(),
+        "base32": lambda: base64.b32encode(rng.randbytes(20)).decode(),
+        "prefixed": lambda: "ghx_" + "".join(rng.choices(alnum, k=36)),
+        "in a path": lambda: "https://hooks.example.com/services/incoming/" + "".join(rng.choices(alnum, k=24)),
+        "snake": lambda: "_".join(rng.choices(words, k=4)),
+        "camel": lambda: "".join(w.capitalize() for w in rng.choices(words, k=4)),
+        "constant": lambda: "_".join(rng.choices(words, k=4)).upper(),
+        "path": lambda: "/".join(rng.choices(words, k=5)) + ".html",
+    }
+    rows = [(k * 100 + i, f"see {make()} there") for k, make in enumerate(kinds.values()) for i in range(100)]
+    found = {r.doc_id: r.n_markov for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    share = {name: sum(found[k * 100 + i] > 0 for i in range(100)) for k, name in enumerate(kinds)}
+    assert all(share[name] >= 95 for name in list(kinds)[:5]) and all(share[name] <= 15 for name in list(kinds)[5:]), repr(share)
