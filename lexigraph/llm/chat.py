@@ -1,12 +1,16 @@
 """Chat formatting by schema fingerprints.
 
 A record (JSON) is reduced to the set of its nested field paths; the hash of that set selects a declarative mapping,
-which lists where the turns of such a record stand. The turns are then written with a template whose control strings
-cannot occur in a text: the characters that begin one are escaped, reversibly. Spans of assistant text are marked as
-the loss mask.
+which lists where the turns of such a record stand. Fields that describe a record, such as an id, don't count. The turns
+are then written with a template whose control strings cannot occur in a text: the characters that begin one are
+escaped, reversibly. Spans of assistant text are marked as the loss mask.
+
+``shaped_records`` makes such records of conversations given as rows of turns, in the layout that each one's roles allow.
 
 Records of unknown layout keep a row, with a null layout and no turns. Null texts and roles are empty. Invalid JSON is
-an unknown layout. Turns of a conversation are ordered by turn, then role and text; nulls come first.
+an unknown layout. Turns of a conversation are ordered by turn, then role and text; nulls come first; repeated rows are
+turns of their own. An empty table gives an empty result. A conversation is a row in one task's memory, however long its
+texts. Further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +47,14 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
+#: Paths, and what lies below them, that don't count in a fingerprint.
+DESCRIPTION = (".id", ".source", ".metadata", ".tags", ".created")
+
+
+def counted(paths: Iterable[str], ignored: Iterable[str] = DESCRIPTION) -> set[str]:
+    return {p for p in paths if not any(p == x or p.startswith((x + ".", x + "[")) for x in ignored)}
+
+
 # Mappings
 
 
@@ -135,7 +147,7 @@ def canonical(record: str | None, by_print: dict[str, Mapping]) -> tuple[str | N
         value = json.loads(record or "")
     except ValueError:
         return None, "", []
-    print_ = fingerprint(field_paths(value))
+    print_ = fingerprint(counted(field_paths(value)))
     mapping = by_print.get(print_)
     return (mapping.name, print_, mapping.apply(value)) if mapping else (None, print_, [])
 
@@ -207,17 +219,40 @@ def format_records(records: DataFrame, record: str = "record", key: str = "conv_
     return chosen.mapInArrow(run, f"key {kind}, {types}").withColumnRenamed("key", key)
 
 
-def message_records(rows: DataFrame) -> DataFrame:
-    """conv_id and record: the rows (conv_id, turn, role, text) of each conversation as a JSON list of messages."""
+def shaped_records(rows: DataFrame) -> DataFrame:
+    """conv_id and record: the rows (conv_id, turn, role, text) of each conversation in the layout that its roles allow.
+
+    One question and its answer are a prompt and a response, with a system text an instruction and its output. Of longer
+    ones with the usual roles, those that begin with the only system text have it apart; an odd number of turns makes
+    a bare list, a multiple of four a list of speakers, other numbers a list of who it is from. All others are messages.
+    """
     blank = lambda c: F.coalesce(rows[c], F.lit(""))
     message = F.struct(rows["turn"].alias("turn"), blank("role").alias("role"), blank("text").alias("content"))
     ordered = rows.select(rows["conv_id"].alias("conv_id"), message.alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    plain = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return ordered.select("conv_id", F.to_json(F.struct(plain.alias("messages"))).alias("record"))
+    ordered = ordered.withColumn("roles", F.col("m.role"))
+    text = lambda k: F.get("m", F.lit(k))["content"]
+    is_ = lambda *roles: F.col("roles") == F.array(*[F.lit(r) for r in roles])
+    said = lambda who, what, names: F.transform(
+        F.filter("m", lambda m: m["role"] != "system") if "system" not in names else F.col("m"),
+        lambda m: F.struct(F.coalesce(*[F.when(m["role"] == r, F.lit(n)) for r, n in names.items()], m["role"]).alias(who), m["content"].alias(what)),
+    )
+    usual = F.forall("roles", lambda r: r.isin("user", "assistant", "system"))
+    apart = usual & (F.get("roles", F.lit(0)) == "system") & (F.size(F.filter("roles", lambda r: r == "system")) == 1) & (F.size("m") > 1)
+    human = {"user": "human", "assistant": "gpt"}
+    record = (
+        F.when(is_("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when(is_("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
+        .when(apart, F.to_json(F.struct(text(0).alias("system"), said("from", "value", human).alias("conversations"))))
+        .when(usual & (F.size("m") % 2 == 1), F.to_json(said("role", "content", {"system": "system"})))
+        .when(usual & (F.size("m") % 4 == 0), F.to_json(F.struct(said("speaker", "text", {"user": "human", "assistant": "bot", "system": "system"}).alias("turns"))))
+        .when(usual, F.to_json(F.struct(said("from", "value", human | {"system": "system"}).alias("conversations"))))
+        .otherwise(F.to_json(F.struct(said("role", "content", {"system": "system"}).alias("messages"))))
+    )
+    return ordered.select("conv_id", record.alias("record"))
 
 
 def read_back(formatted_rows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text and its loss spans."""
+    """conv_id, layout, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the formatted text and its loss spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -230,19 +265,19 @@ def read_back(formatted_rows: DataFrame) -> DataFrame:
                 out.append((len(turns), digests[0], len(loss), digests[1], len(text)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("layout"), *columns], names)
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "layout", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = formatted_rows.schema["conv_id"].dataType.simpleString()
-    types = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted_rows.select("conv_id", "formatted", "loss").mapInArrow(run, f"conv_id {kind}, {types}")
+    types = "layout string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted_rows.select("conv_id", "layout", "formatted", "loss").mapInArrow(run, f"conv_id {kind}, {types}")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 1, "user", said), (-1, 2, "assistant", said)], rows.schema)
-    return read_back(format_records(message_records(rows.unionByName(extra))))
+    return read_back(format_records(shaped_records(rows.unionByName(extra))))
 
 
 ORACLE = r"""
@@ -255,10 +290,19 @@ with c as (
            || replace(replace(replace(coalesce(text, ''), '\', '\\'), '<', '<\'), '[', '[\') || '<|end|>' as f
   from c
 )
-select conv_id, count(*)::bigint as n_turns,
+select conv_id,
+       case when roles = ['user', 'assistant'] then 'prompt_response'
+            when roles = ['system', 'user', 'assistant'] then 'instruction_output_system'
+            when n_other > 0 then 'messages_role'
+            when roles[1] = 'system' and len(roles) > 1 and n_system = 1 then 'conversations_from_system'
+            when len(roles) % 2 = 1 then 'list_role' when len(roles) % 4 = 0 then 'turns_speaker' else 'conversations_from' end as layout,
+       * exclude (conv_id, roles, n_other, n_system)
+from (select conv_id, list(role order by turn, role, text) as roles,
+       count(*) filter (where role not in ('user', 'assistant', 'system')) as n_other,
+       count(*) filter (where role = 'system') as n_system, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(length(f))::bigint as formatted_chars
-from d group by conv_id
+from d group by conv_id)
 """

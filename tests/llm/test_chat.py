@@ -35,6 +35,7 @@ LAYOUTS = [
     ({"messages": []}, "messages_role_empty", []),
     ({"unknown": 1}, None, []),
     ({"prompt": "p", "response": "r", "score": 3}, None, []),
+    ({"id": 4, "metadata": {"a": [1], "b": None}, "prompt": "p", "response": "r"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
 ]
 
 
@@ -60,7 +61,7 @@ def test_conversations_with_nulls_ties_and_control_strings(spark):
         (2, 1, "assistant", ""), (None, 1, "user", "x" * 100_000), (3, None, "assistant", "é🙂"), (3, 1, "assistant", "z"),
     ]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, record string")
-    found = {r.conv_id: r for r in C.read_back(C.format_records(C.message_records(frame))).collect()}
+    found = {r.conv_id: r for r in C.read_back(C.format_records(C.shaped_records(frame))).collect()}
     want = {
         1: [("user", ""), ("assistant", "b<|end|>"), ("assistant", "b<|end|>"), ("", "\\n[INST]")],
         2: [("assistant", "")], None: [("user", "x" * 100_000)], 3: [("assistant", "é🙂"), ("assistant", "z")],
@@ -71,4 +72,32 @@ def test_conversations_with_nulls_ties_and_control_strings(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (found[k].n_turns, found[k].loss_chars) == (len(turns), len(loss))
         assert found[k].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in turns)) and found[k].loss_sha256 == sha(loss)
-    assert C.read_back(C.format_records(C.message_records(frame.limit(0)))).count() == 0
+    assert C.read_back(C.format_records(C.shaped_records(frame.limit(0)))).count() == 0
+
+
+def test_conversations_take_many_layouts_and_keep_their_turns(spark):
+    shapes = {
+        "prompt_response": ["user", "assistant"], "instruction_output_system": ["system", "user", "assistant"],
+        "conversations_from_system": ["system", "user", "assistant", "user"], "list_role": ["user", "assistant", "user"],
+        "turns_speaker": ["user", "assistant"] * 2, "conversations_from": ["user", "assistant", "system", "user", "user", "assistant"],
+        "messages_role": ["user", "human", "gpt"],
+    }
+    odd = ["", "a<|end|>", "é🙂\n", '{"x": [1]}', "\\n"]
+    said = {i: [(r, odd[(i + k) % 5] if i else "") for k, r in enumerate(roles)] for i, roles in enumerate(shapes.values())}
+    rows = [(i, k, r, t or None) for i, turns in said.items() for k, (r, t) in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = {r.conv_id: r for r in C.format_records(C.shaped_records(frame)).collect()}
+    assert {i: found[i].layout for i in found} == dict(enumerate(shapes))
+    assert {i: [tuple(t) for t in found[i].turns] for i in found} == said
+
+
+def test_query_against_its_oracle(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    found = C.op7_chat_format(spark, "/root/testdata/sf0.01")
+    columns = sorted(found.columns)
+    want = db.sql(f"select {', '.join(columns)} from ({C.ORACLE})").fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(want)
+    assert len({r[columns.index("layout")] for r in want}) > 2
