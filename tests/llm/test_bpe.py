@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -86,6 +87,20 @@ def test_spliced_counts_equal_whole_texts(library, chunk, overlap):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
 
 
+def test_spaceless_texts_are_spliced_in_linear_time(library):
+    rng = random.Random(2)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for make in (lambda n: "".join(rng.choices(alnum, k=n)), lambda n: "".join(rng.choices("日本語文字列。、", k=n)), lambda n: "".join(rng.choices("abc", k=n))):
+        counter, seconds = Counter(bpe.read_vocabulary(PATH), 4096, 64), []
+        for n in (100_000, 400_000):
+            text = make(n)
+            began = time.time()
+            found = counter.count(text)
+            seconds.append(time.time() - began)
+            assert found == len(library.encode(text, add_special_tokens=False).ids)
+        assert seconds[1] < 12 * seconds[0] + 0.2, seconds
+
+
 def test_text_without_any_boundary_is_one_piece(library):
     counter = Counter(bpe.read_vocabulary(PATH), 50, 10)
     assert counter.count("ab" * 500) == len(library.encode("ab" * 500).ids)
