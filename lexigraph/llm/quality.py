@@ -1,14 +1,17 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of the learned vectors of its hashed features: words, pairs of neighbouring words, a mark for a
-word that repeats the one before, and character n-grams that mark the words' edges. A softmax over two classes reads
-the mean. Vectors and output are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows,
-equally many of each class; the output is then shifted to the classes' true frequencies.
+word that repeats the one before, and n-grams of characters that mark the words' edges. A softmax over two classes
+reads the mean. Vectors and output are trained by stochastic gradient descent in numpy, STEPS rows one after the other
+whatever the sample's size, on a bounded sample of labelled rows, equally many of each class; the output is then
+shifted to the classes' true frequencies.
 
 The mean and the output are linear, so a feature's vector enters a score only as the difference it makes to the two
 outputs. Scoring uses that table of one number per bucket, whose size is fixed and which every executor gets.
 
 Null texts are empty; a document without features scores what its class frequencies say. Without labels all score 0.5.
+Repeated rows score alike, an empty table gives an empty result, a very long text is scored whole as a block of its own.
+Columns other than the id and the text are not read; ``kept`` returns them as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,23 +34,26 @@ SIZES = (3, 4, 5)
 REPEATED = 1
 #: Documents of each class that the model is fitted on, at most.
 PER_CLASS = 2500
+#: Rows that training goes through, again and again in new orders.
+STEPS = 20_000
 
 
 def features(block: H.Bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and places, by place, of each kind of feature."""
+    """Buckets of each kind of feature, by place, and where each text's begin among them, one more at the end."""
     shift64, shift32 = np.uint64(64 - BITS), np.uint32(32 - BITS)
     starts, ends = block.words(~H.SPACES)
     words = H.word_hashes(block.data, starts, ends)
-    yield (words >> shift64).astype(np.int64), starts
+    yield (words >> shift64).astype(np.int64), block.bounds(starts)
     if len(words) > 1:
         of = block.of(starts)
         near = np.flatnonzero(of[1:] == of[:-1])
         pairs = H.mixed(words[near] * np.uint64(3) + words[near + 1])
-        yield (pairs >> shift64).astype(np.int64), starts[near + 1]
+        yield (pairs >> shift64).astype(np.int64), block.bounds(starts[near + 1])
         again = near[words[near] == words[near + 1]]
-        yield np.full(len(again), REPEATED), starts[again + 1]
-    for grams, places in H.ngram_hashes(block.data, SIZES):
-        yield (grams >> shift32).astype(np.int64), places
+        yield np.full(len(again), REPEATED), block.bounds(starts[again + 1])
+    points, begins = block.characters()
+    for grams, places in H.ngram_hashes(points, SIZES):
+        yield (grams >> shift32).astype(np.int64), np.searchsorted(places, begins)
 
 
 @dataclass
@@ -60,8 +66,7 @@ class Model:
         for data in H.blocks(rows):
             block = H.Bytes(data)
             sums, counts = np.zeros(len(data)), np.zeros(len(data), np.int64)
-            for buckets, places in features(block):
-                bounds = block.bounds(places)
+            for buckets, bounds in features(block):
                 totals = np.concatenate([[0.0], np.cumsum(self.weights[buckets], dtype=np.float64)])
                 sums += np.diff(totals[bounds])
                 counts += np.diff(bounds)
@@ -70,10 +75,9 @@ class Model:
         return np.round(np.concatenate(out), 6) if out else np.zeros(0)
 
 
-def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8, epochs: int | None = None, rate: float = 0.4, seed: int = 6) -> Model:
-    """Train on ``rows``; ``counts`` has how often each label occurs in all. Few rows are gone through more often."""
+def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8, steps: int = STEPS, rate: float = 0.4, seed: int = 6) -> Model:
+    """Train on ``rows``; ``counts`` has how often each label occurs in all."""
     size = 1 << BITS
-    epochs = epochs or max(4, min(40, 10_000 // max(1, len(rows))))
     if len(set(labels)) < 2:
         n = sum(counts.values())
         return Model(np.zeros(size, np.float32), float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))) if n else 0.0)
@@ -86,22 +90,23 @@ def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     output = np.zeros((2, dim), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, step = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            buckets, shares = found[i]
-            now = rate * (1 - step / steps)
-            step += 1
-            mean = shares @ vectors[buckets]
-            odds = output @ mean + bias
-            p = np.exp(odds - odds.max())
-            error = p / p.sum()
-            error[labels[i]] -= 1
-            back = error @ output
-            output -= now * np.outer(error, mean)
-            bias -= now * error
-            # The mean is over thousands of features: its gradient reaches each by its share, made up for by their number.
-            vectors[buckets] -= (now * len(buckets)) * np.outer(shares, back)
+    order = np.zeros(0, np.int64)
+    for step in range(steps):
+        if step % len(rows) == 0:
+            order = rng.permutation(len(rows))
+        i = order[step % len(rows)]
+        buckets, shares = found[i]
+        now = rate * (1 - step / steps)
+        mean = shares @ vectors[buckets]
+        odds = output @ mean + bias
+        p = np.exp(odds - odds.max())
+        error = p / p.sum()
+        error[labels[i]] -= 1
+        back = error @ output
+        output -= now * np.outer(error, mean)
+        bias -= now * error
+        # The mean is over thousands of features: its gradient reaches each by its share, made up for by their number.
+        vectors[buckets] -= (now * len(buckets)) * np.outer(shares, back)
     sampled = np.bincount(labels, minlength=2)
     shift = np.log(counts[1] / counts[0]) - np.log(sampled[1] / sampled[0])
     difference = output[1] - output[0]

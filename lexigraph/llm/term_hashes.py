@@ -42,6 +42,14 @@ class Bytes:
         edges = np.diff(inside[self.data].astype(np.int8))
         return np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
 
+    def characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of the block, and each text's first place among them and the end."""
+        points = np.frombuffer(self.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(points) == len(self.data):
+            return points, self.starts
+        before = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        return points, before[self.starts]
+
     def bounds(self, places: np.ndarray) -> np.ndarray:
         """Where each text's places begin among sorted places, one more at the end."""
         return np.searchsorted(places, self.starts)
@@ -75,19 +83,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: in
     return mixed(sums + np.uint64(salt))
 
 
-def ngram_hashes(data: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size, 32-bit hashes of the n-grams of bytes without white space inside, and their places.
+def ngram_hashes(points: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size, 32-bit hashes of the n-grams of characters without white space inside, and their places.
 
     White space may stand at either end, where it marks the word's start or end.
     """
-    space = SPACES[data]
-    plain = np.where(space, np.uint8(32), data).astype(np.uint32)
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    plain = np.where(space, np.uint32(32), points)
     h = plain
     inner = None
     for n in range(2, max(sizes) + 1):
         h = h[:-1] * np.uint32(0x01000193) + plain[n - 1 :]
         if n > 2:
-            nth = space[n - 2 : len(data) - 1]
+            nth = space[n - 2 : len(points) - 1]
             inner = nth if inner is None else inner[:-1] | nth
         if n in sizes and inner is not None:
             places = np.flatnonzero(~inner)

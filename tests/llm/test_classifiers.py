@@ -109,7 +109,7 @@ def test_labels_of_held_out_ids_and_null_labels_are_not_used(spark):
 def test_scores_do_not_depend_on_neighbours():
     rng = random.Random(4)
     rows = [sentences(rng, rng.randrange(0, 80)) for _ in range(200)] + ["", "a", "a"]
-    model = quality.fit(rows, [len(r) % 2 for r in rows], {0: 100, 1: 103}, epochs=1)
+    model = quality.fit(rows, [len(r) % 2 for r in rows], {0: 100, 1: 103}, steps=200)
     assert np.array_equal(model.scores(rows), [model.scores([r])[0] for r in rows])
 
 
@@ -119,7 +119,48 @@ def test_hashes_of_words_and_ngrams():
     h = term_hashes.word_hashes(block.data, starts, ends)
     assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1] and block.of(starts).tolist() == [0, 0, 0, 2]
     assert term_hashes.word_hashes(block.data, starts, ends, 2)[1] == h[0]
-    for (grams, places), n in zip(term_hashes.ngram_hashes(block.data, (3, 4)), (3, 4), strict=True):
-        shown = [bytes(block.data[p : p + n]) for p in places]
-        assert all(b" " not in x[1:-1] for x in shown)
+    texts = ["ab ábc ab", "", "日本語 é", "abc"]
+    block = term_hashes.Bytes([t.encode() for t in texts])
+    points, begins = block.characters()
+    joined = " " + " ".join(texts) + " "
+    assert [chr(p) for p in points] == list(joined) and [joined[a : b - 1] for a, b in zip(begins[:-1] + 1, begins[1:] + 1, strict=True)] == texts
+    for (grams, places), n in zip(term_hashes.ngram_hashes(points, (3, 4)), (3, 4), strict=True):
+        shown = [joined[p : p + n] for p in places]
+        assert shown == [joined[p : p + n] for p in range(len(joined) - n + 1) if " " not in joined[p + 1 : p + n - 1]]
         assert len({*zip(grams.tolist(), shown, strict=True)}) == len(set(shown)) == len(set(grams.tolist()))
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_against_brute_force(module):
+    """The vectorised scores of a block are those of the formulas, reckoned feature by feature."""
+    rng = random.Random(7)
+    rows = [sentences(rng, rng.randrange(1, 30)) + (" oaf" if i % 2 else "") for i in range(80)] + ["été été 日本語 x", "a", ""]
+    model = module.fit(rows, [i % 2 for i in range(len(rows))], {0: 41, 1: 42})
+    for row, score in zip(rows, model.scores(rows), strict=True):
+        if module is quality:
+            total, n = 0.0, 0
+            for buckets, _ in quality.features(term_hashes.Bytes([row.encode()])):
+                for b in buckets.tolist():
+                    total, n = total + float(model.weights[b]), n + 1
+            odds = model.bias + total / max(n, 1)
+        else:
+            found = sorted(set(toxicity.terms(term_hashes.Bytes([row.lower().encode()]))[0].tolist()))
+            known = {b: k for k, b in enumerate(model.buckets.tolist())}
+            own = [known[b] for b in found if b in known]
+            odds = model.bias + sum(float(model.weights[k]) for k in own)
+            share = min(1.0, toxicity.SHORT / max(1, len(found)))
+            for x, k in enumerate(own):
+                odds += share * sum(float(model.factors[k].astype(float) @ model.factors[j]) for j in own[:x])
+        assert abs(score - 1 / (1 + np.exp(-odds))) < 1e-5
+
+
+def test_training_is_bounded_and_counts_documents_only(spark):
+    rows = [(i, f"text {i}" * 10) for i in range(60)] + [(5, "a smaller text"), (5, "zzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    texts, found, counts = labelled.training_rows(docs, labels, "quality", 100, 1)
+    usable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert counts == {c: sum(i % 2 == c for i in usable) for c in (0, 1)}
+    assert len(texts) == len(usable) and ("a smaller text" in texts) == (5 in usable) and "zzz" not in texts
+    fewer = labelled.training_rows(docs, labels, "quality", 100, 1, chars=500)[0]
+    assert sum(map(len, fewer)) <= 500 and set(fewer) < set(texts)
