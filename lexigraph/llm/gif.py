@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,44 +65,51 @@ class Gif:
 
 
 def lzw_codes(pixels: bytes) -> list[int]:
-    """The codes of eight-bit pixels: a clear, the longest known strings, a clear whenever the table is full, the end."""
-    codes, known, following = [256], {}, 258
-    put = codes.append
+    """The codes of eight-bit pixels: a clear, the longest known strings, a clear whenever the table is full, the end.
+
+    All codes are kept, and returned, eight bits to the left, so that a string and its next pixel are one number.
+    """
+    codes, known, following = [256 << 8], {}, 258 << 8
+    put, find = codes.append, known.get
     if pixels:
-        word = pixels[0]
-        for p in pixels[1:]:
-            pair = word << 8 | p
-            if pair in known:
-                word = known[pair]
+        rest = iter(pixels)
+        word = next(rest) << 8
+        for p in rest:
+            longer = find(word | p)
+            if longer:
+                word = longer
                 continue
             put(word)
-            known[pair] = following
-            following += 1
-            word = p
-            if following == 4096:
-                put(256)
-                known, following = {}, 258
+            known[word | p] = following
+            following += 256
+            word = p << 8
+            if following == 4096 << 8:
+                put(256 << 8)
+                known.clear()
+                following = 258 << 8
         put(word)
-    put(257)
+    put(257 << 8)
     return codes
 
 
-def _widths(places: np.ndarray, size: int) -> np.ndarray:
-    """Bits of the codes at ``places`` after a clear: the reader's table has an entry for each code but the first."""
-    following = (1 << size) + 2 + np.maximum(0, places - 1)
-    widths = np.full(len(places), size + 1)
+@cache
+def _widths(size: int, n: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the first ``n`` codes after a clear, and the bit after each.
+
+    The reader's table has an entry for each code but the first.
+    """
+    following = (1 << size) + 2 + np.maximum(0, np.arange(n) - 1)
+    widths = np.full(n, size + 1)
     for w in range(size + 1, 12):
         widths[following >= 1 << w] = w + 1
-    return widths
+    return widths, np.cumsum(widths)
 
 
 def lzw_encode(pixels: bytes) -> bytes:
     """The code stream of eight-bit pixels, lowest bit first."""
-    codes = np.array(lzw_codes(pixels), np.uint32)
-    k = np.arange(len(codes))
-    after = np.maximum.accumulate(np.where(codes == 256, k, -1))  # the last clear, or the place itself
-    before = np.concatenate([[-1], after[:-1]])  # the last clear before each code
-    widths = np.where(before < 0, 9, _widths(k - before - 1, 8))
+    codes = np.array(lzw_codes(pixels), np.uint32) >> np.uint32(8)
+    cuts = [0, *(np.flatnonzero(codes == 256) + 1).tolist(), len(codes)]  # a clear has the width of what is before it
+    widths = np.concatenate([_widths(8)[0][: b - a] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     ends = np.cumsum(widths)
     starts = ends - widths
     bits = codes << (starts & 7).astype(np.uint32)
@@ -140,15 +148,13 @@ def encode_gif(gif: Gif) -> bytes:
 
 
 def _widening(data: np.ndarray, bit: int, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` codes from ``bit`` on, directly after a clear, and the bit after each."""
-    widths = _widths(np.arange(most), size)
-    ends = bit + np.cumsum(widths)
-    n = int(np.searchsorted(ends, len(data) * 8, "right"))
-    widths, ends = widths[:n], ends[:n]
+    """Up to ``most`` codes from ``bit`` on, directly after a clear, and the bit after each; three bytes pad ``data``."""
+    widths, ends = _widths(size, most)
+    n = int(np.searchsorted(ends, (len(data) - 3) * 8 - bit, "right"))
+    widths, ends = widths[:n], ends[:n] + bit
     starts = ends - widths
-    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
     byte = starts >> 3
-    codes = (padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (starts & 7).astype(np.uint32)
+    codes = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (starts & 7).astype(np.uint32)
     return codes & ((1 << widths) - 1).astype(np.uint32), ends
 
 
@@ -157,29 +163,29 @@ def _strings(codes: np.ndarray, size: int) -> bytes:
     if not len(codes):
         return b""
     clear = 1 << size
-    known = [bytes([i]) if i < 256 else b"" for i in range(clear)] + [b"", b""]
-    grow = known.append
+    known = [bytes([i]) for i in range(clear)] + [b"", b""]
+    grow, following = known.append, clear + 2
     codes = codes.tolist()
     if codes[0] >= clear:
         raise ValueError("a code before its entry")
     last = known[codes[0]]
     out = [last]
     put = out.append
-    for code in codes[1:]:
-        if len(known) < 4096:
-            # The new entry is the last string and the first pixel of this one, which may be the entry itself.
-            if code < len(known):
-                word = known[code]
-                grow(last + word[:1])
-            elif code == len(known):
-                word = last + last[:1]
-                grow(word)
-            else:
-                raise ValueError("a code before its entry")
-        else:
+    growing = 4096 - following + 1
+    for code in codes[1:growing]:
+        # The new entry is the last string and the first pixel of this one, which may be the entry itself.
+        if code < following:
             word = known[code]
+            grow(last + word[:1])
+        elif code == following:
+            word = last + last[:1]
+            grow(word)
+        else:
+            raise ValueError("a code before its entry")
+        following += 1
         put(word)
         last = word
+    out += [known[code] for code in codes[growing:]]
     return b"".join(out)
 
 
@@ -187,7 +193,7 @@ def lzw_decode(data: bytes, size: int) -> np.ndarray:
     """The pixels of a code stream whose smallest code size is ``size``."""
     if not 2 <= size <= 8:
         raise ValueError("code size")
-    stream = np.frombuffer(data, np.uint8)
+    stream = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     clear = 1 << size
     out, bit = [], 0
     while True:
