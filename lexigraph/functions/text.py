@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` reckoned once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """token, n of each distinct word of an array, in order: the runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        return let(F.filter(F.sequence(F.lit(0), F.size(s) - 1), first), lambda starts: pairs(s, starts))
+
+    def pairs(s: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a).alias("token"), (b - a).cast("long").alias("n")))
+
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
+
+
 def term_frequency(n: Column, length: Column) -> Column:
     return n / length
 

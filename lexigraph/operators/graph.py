@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.sources.scratch import materialise
+from lexigraph.sources.scratch import discard, materialise
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -44,23 +44,23 @@ def dead_end_nodes(edges: DataFrame) -> DataFrame:
     return node_degrees(edges).where((F.col("out_deg") == 0) | _alone()).select("node")
 
 
-def alive_nodes(edges: DataFrame) -> DataFrame:
-    return node_degrees(edges).where((F.col("out_deg") > 0) & ~_alone()).select("node")
-
-
 def remove_dead_ends(edges: DataFrame, compat: bool = False) -> DataFrame:
     """The edges that remain when dead ends, and what leads to them alone, are pruned until nothing changes.
 
-    A round keeps the edges whose target is alive, whatever their source. It ends when a round leaves as many nodes
-    alive as the one before; alive sets only shrink, so equal counts are equal sets. ``compat`` starts from a count of
-    0, so that a graph of single loops alone comes back as it is.
+    Degrees are counted once. An edge goes when its target dies, which takes it from its source's out-degree; what leads
+    into a node stays as long as the node does. So a round reads the edges for those into the newly dead alone, and
+    writes the degrees of the nodes that are left, never the edges. ``compat`` leaves a graph as it is in which no node
+    is alive from the start, as one of single loops alone.
     """
-    now, before = edges, 0 if compat else -1
+    dead = (F.col("out_deg") == 0) | _alone()
+    nodes = materialise(node_degrees(edges), "degrees")
+    if compat and nodes.where(~dead).isEmpty():
+        return edges
     while True:
-        alive = materialise(alive_nodes(now), "alive", few=True)
-        count = alive.count()
-        if count == before:
-            return now
-        before = count
-        # Each round reads what the last one wrote: no lineage grows with the rounds.
-        now = materialise(now.join(alive, now["dst"] == alive["node"], "left_semi"), "edges", few=True)
+        newly = nodes.where(dead).select("node")
+        if newly.isEmpty():
+            return edges.join(nodes.select("node"), edges["dst"] == nodes["node"], "left_semi")
+        lost = edges.join(newly, edges["dst"] == newly["node"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("lost"))
+        left = nodes.where(~dead).join(lost, "node", "left").withColumn("out_deg", F.col("out_deg") - F.coalesce("lost", F.lit(0))).drop("lost")
+        before, nodes = nodes, materialise(left, "degrees")
+        discard(before)

@@ -12,18 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.stemmer import stemmed
-from lexigraph.functions.text import inverse_document_frequency, term_frequency, tf_idf, tokens
+from lexigraph.functions.text import counted, inverse_document_frequency, term_frequency, tf_idf, tokens
 from lexigraph.sources.scratch import materialise
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """row_id, title, token: a row for each token."""
-    return docs.select("row_id", "title", F.explode(tokens(F.col("content"))).alias("token"))
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
-    """row_id, title, token, n."""
-    return token_rows(docs).groupBy("row_id", "title", "token").agg(F.count("*").alias("n"))
+    """row_id, title, token, n: a document's tokens stand in one row and are counted there, so nothing is shuffled."""
+    return docs.select("row_id", "title", F.inline(counted(tokens(F.col("content")))))
 
 
 def token_terms(rows: DataFrame) -> DataFrame:
@@ -48,16 +43,17 @@ def without_stop_terms(rows: DataFrame, stop: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """row_id, title, term, n, without stop words.
 
-    Tokens that are stop words as they stand, nearly half of a text, go before anything is shuffled; the rest of the
-    filter is on the table of distinct tokens. The rows then meet their terms and go to their document's partition,
-    where they are counted and where ``term_frequencies`` finds them.
+    Tokens are counted in their documents before anything moves, and those that are stop words as they stand go there
+    too; the rest of the filter is on the table of distinct tokens. What is left, a row for each different token of a
+    document, meets its term and goes to its document's partition, where ``term_frequencies`` finds it.
     """
     stems = _stop_stems(words)
     stop = stems.select(F.col("stem").alias("term")).distinct()
     surely = stems.join(stop, F.lower("stem") == F.col("term"), "left_semi").select("token").distinct()
-    rows = token_rows(docs).join(surely, "token", "left_anti")
+    # Written once: the tokens are read for their stems, and again to meet them.
+    rows = materialise(token_counts(docs).join(surely, "token", "left_anti"), "tokens")
     terms = without_stop_terms(token_terms(rows), stop)
-    return rows.join(terms, "token").repartition("row_id").groupBy("row_id", "title", "term").agg(F.count("*").alias("n"))
+    return rows.join(terms, "token").repartition("row_id").groupBy("row_id", "title", "term").agg(F.sum("n").alias("n"))
 
 
 def document_lengths(counts: DataFrame) -> DataFrame:
@@ -95,17 +91,34 @@ def with_idf(frequencies: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def weights(docs: DataFrame, words: DataFrame, unique_titles: bool = False) -> DataFrame:
-    """term, title, weight, a row per posting: frequencies meet occurrences in a join that Spark can split at hot terms."""
-    found = occurrences(docs, words, unique_titles)
+    """term, title, weight, a row per posting: frequencies meet occurrences in a join that Spark can split at hot terms.
+
+    The occurrences are written once, for the document frequencies and for the join with them.
+    """
+    found = materialise(occurrences(docs, words, unique_titles), "occurrences")
     idf = with_idf(document_frequencies(found), docs)
     return found.join(idf, "term").select("term", "title", tf_idf(F.col("tf"), F.col("idf")).alias("weight"))
 
 
+def posting_blocks(docs: DataFrame, words: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """term, block, postings (title, weight), heaviest first: the index in pieces, for terms whose list fits no row.
+
+    A block has the postings of ``width`` row ids in a row, so none grows with the corpus and no task gets a whole hot
+    term. Titles must not repeat.
+    """
+    tf = materialise(term_frequencies(term_counts(docs, words)).select("term", "title", "row_id", "tf"), "occurrences")
+    idf = with_idf(document_frequencies(tf), docs)
+    weighed = tf.join(idf, "term").select("term", F.floor(F.col("row_id") / width).alias("block"), "title", tf_idf(F.col("tf"), F.col("idf")).alias("weight"))
+    posting = F.struct((-F.col("weight")).alias("order"), "title")
+    lists = weighed.groupBy("term", "block").agg(F.sort_array(F.collect_list(posting)).alias("found"))
+    return lists.select("term", "block", F.transform("found", lambda p: F.struct(p["title"].alias("title"), (F.lit(0.0) - p["order"]).alias("weight"))).alias("postings"))
+
+
 def inverted_index(docs: DataFrame, words: DataFrame, unique_titles: bool = False) -> DataFrame:
     """term, postings (title, weight), heaviest first.
 
     One shuffle by term: a term's document frequency is the length of its list. A posting list is one value, so the
-    most frequent term must fit a row; where it doesn't, use ``weights``.
+    most frequent term must fit a row; where it doesn't, use ``posting_blocks`` or ``weights``.
     """
     found = occurrences(docs, words, unique_titles)
     lists = found.groupBy("term").agg(F.collect_list(F.struct("title", "tf")).alias("found"))

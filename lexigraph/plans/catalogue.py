@@ -5,6 +5,7 @@ The corpus is ``documents`` with doc_id as row id and title; the graph is ``line
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from lexigraph.functions import text as T
 from lexigraph.functions.stemmer import stem_sql
 from lexigraph.operators import graph, index, linalg
+from lexigraph.plans import jobs
 from lexigraph.sources import text as files
-from lexigraph.sources.scratch import table
+from lexigraph.sources.scratch import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,15 @@ def query(sql: str) -> Callable:
     return register
 
 
+#: Where an oracle's text has the stop words, which are read only when the oracles are asked for.
+STOP = "/*stop words*/"
+
+
+def oracles() -> dict[str, str]:
+    words = ", ".join(f"('{w}')" for w in files.listed_words())
+    return {name: sql.replace(STOP, words) for name, sql in ORACLES.items()}
+
+
 # Corpus
 
 
@@ -42,7 +53,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-STOP = ", ".join(f"('{w}')" for w in files.listed_words())
 #: Token counts, stems of tokens and stop words, and what is left with its document's length.
 TEXT_CTES = rf"""
 tokens as materialized (
@@ -78,7 +88,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TEXT_CTES} select distinct token, lower(stem) as stem from stems where token in (select token from tokens)")
 def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.token_terms(index.token_rows(corpus(spark, sf_dir))).withColumnRenamed("term", "stem")
+    return index.token_terms(index.token_counts(corpus(spark, sf_dir))).withColumnRenamed("term", "stem")
 
 
 @query(f"with {TEXT_CTES} select doc_id, sum(n)::bigint as n_kept from kept group by doc_id")
@@ -173,14 +183,8 @@ def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
 
 
-def some_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned lines of small quantity: a graph with parallel edges that pruning takes in part."""
-    chosen = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") < 10) & (F.col("l_returnflag") == "R"))
-    return chosen.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-
-
 def supplier_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))
 
 
 MATRIX = """edges as (select l_suppkey as src, l_partkey as dst from lineitem),
@@ -188,9 +192,9 @@ degrees as (select src, count(*)::bigint as out_deg from edges group by src),
 matrix as (select dst as i, src as j, 1.0::double / out_deg as a from edges join degrees using (src))"""
 PRODUCTS = f"""{MATRIX}, products as (
   select i, j, coalesce(s_acctbal, 0.0) * a as b
-  from (select i, j, max(a) as a from matrix group by i, j) left join (select * from supplier where s_acctbal > 0) on s_suppkey = j
+  from (select i, j, max(a) as a from matrix group by i, j) left join supplier on s_suppkey = j
 )"""
-SOME = "e0 as materialized (select l_suppkey as src, l_partkey as dst from lineitem where l_quantity < 10 and l_returnflag = 'R')"
+EDGES = "e0 as materialized (select l_suppkey as src, l_partkey as dst from lineitem)"
 
 
 @query(f"with {MATRIX} select i, j, round(a, 9) as m from matrix")
@@ -217,7 +221,7 @@ def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {MATRIX}, summed as (select i, j, sum(a) as a from matrix group by i, j)
 select i, round(sum(coalesce(s_acctbal, 0.0) * a), 5) as x
-from summed left join (select * from supplier where s_acctbal > 0) on s_suppkey = j group by i""")
+from summed left join supplier on s_suppkey = j group by i""")
 def matvec_summed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With parallel edges added up, so that no weight is lost."""
     found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), supplier_vector(spark, sf_dir), "sum")
@@ -230,11 +234,11 @@ def vector_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.total(found).select(F.round("total", 3).alias("total"))
 
 
-@query(f"""with {SOME}, ends as (
+@query(f"""with {EDGES}, ends as (
   select src as node, 0 as i, 1 as o from e0 union all select dst, 1, 0 from e0
 ) select node, sum(i)::bigint as in_deg, sum(o)::bigint as out_deg from ends group by node""")
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.node_degrees(some_edges(spark, sf_dir)).drop("loops")
+    return graph.node_degrees(all_edges(spark, sf_dir)).drop("loops")
 
 
 def _round(k: int) -> str:
@@ -248,14 +252,14 @@ a{k} as materialized (
 e{k + 1} as materialized (select src, dst from e{k} where dst in (select node from a{k}))"""
 
 
-@query(f"with {SOME},{_round(0)}, nodes as (select src as node from e0 union select dst from e0) select node from nodes where node not in (select node from a0)")
+@query(f"with {EDGES},{_round(0)}, nodes as (select src as node from e0 union select dst from e0) select node from nodes where node not in (select node from a0)")
 def dead_end_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dead_end_nodes(some_edges(spark, sf_dir))
+    return graph.dead_end_nodes(all_edges(spark, sf_dir))
 
 
-@query(f"with {SOME},{','.join(_round(k) for k in range(14))} select src, dst, count(*)::bigint as n from e14 group by src, dst")
+@query(f"with {EDGES},{','.join(_round(k) for k in range(14))} select src, dst, count(*)::bigint as n from e14 group by src, dst")
 def remove_dead_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.remove_dead_ends(some_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return graph.remove_dead_ends(all_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 # Texts and lines
@@ -287,103 +291,116 @@ def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", files.key_of(F.col("value")).alias("title"), F.length(files.value_of(F.col("value"))).cast("long").alias("n_content"))
 
 
-@query(f"""with {SOME}, degrees as (select src, count(*) as out_deg from e0 group by src)
+@query(f"""with {EDGES}, degrees as (select src, count(*) as out_deg from e0 group by src)
 select dst || ' ' || src || ' ' || round(1.0::double / out_deg, 5)::varchar as line from e0 join degrees using (src)""")
 def matrix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = graph.stochastic_matrix(some_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
+    cells = graph.stochastic_matrix(all_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
     return files.matrix_lines(cells).select(F.col("value").alias("line"))
 
 
-@query(f"""with {SOME}, degrees as (select src, count(*) as out_deg from e0 group by src)
+@query(f"""with {EDGES}, degrees as (select src, count(*) as out_deg from e0 group by src)
 select dst::int as i, src::int as j, round(1.0::double / out_deg, 5) as a from e0 join degrees using (src)""")
 def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix lines among vector lines, told apart by their fields and parsed."""
-    cells = graph.stochastic_matrix(some_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
+    cells = graph.stochastic_matrix(all_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
     entries = supplier_vector(spark, sf_dir).select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
     return files.parse_matrix(files.matrix_lines(cells).unionByName(entries))
 
 
-@query("select s_suppkey::int as j, s_acctbal as v from supplier where s_acctbal > 0")
+@query("select s_suppkey::int as j, s_acctbal as v from supplier")
 def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = supplier_vector(spark, sf_dir).select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
-    return files.parse_vector(entries.unionByName(files.matrix_lines(graph.stochastic_matrix(some_edges(spark, sf_dir)))))
+    return files.parse_vector(entries.unionByName(files.matrix_lines(graph.stochastic_matrix(all_edges(spark, sf_dir)))))
 
 
-# Graph, matrix and vector over whole tables: the queries above that choose edges or suppliers, with nothing left out
+# Repeated titles, blocks of postings
 
 
-def whole_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))
+@query(f"""with {TEXT_CTES} select term, source as title, round(arg_max(tf, doc_id), 9) as tf
+from tf join documents using (doc_id) group by term, source""")
+def repeated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as titles, which repeat: of the rows of a title, the last one with the term counts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("title"), F.col("text").alias("content"))
+    found = index.occurrences(docs, files.stop_words(spark))
+    return found.select("term", "title", F.round("tf", 9).alias("tf"))
 
 
-def _vector_lines(vector: DataFrame) -> DataFrame:
-    return vector.select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
+@query(f"""with {TEXT_CTES} select term, title::bigint // 256 as block, string_agg(title, ',' order by weight desc, title) as titles
+from weights group by all""")
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.posting_blocks(corpus(spark, sf_dir), files.stop_words(spark), 256)
+    return found.select("term", "block", F.array_join("postings.title", ",").alias("titles"))
 
 
-EVERY = "e0 as materialized (select l_suppkey as src, l_partkey as dst from lineitem)"
-WHOLE_PRODUCTS = f"""{MATRIX}, products as (
-  select i, j, coalesce(s_acctbal, 0.0) * a as b
-  from (select i, j, max(a) as a from matrix group by i, j) left join supplier on s_suppkey = j
-)"""
+# Files: written to the shared folder, and read by the jobs that go from paths to paths
 
 
-@query(f"""with {EVERY}, ends as (
-  select src as node, 0 as i, 1 as o from e0 union all select dst, 1, 0 from e0
-) select node, sum(i)::bigint as in_deg, sum(o)::bigint as out_deg from ends group by node""")
-def node_degrees_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.node_degrees(all_edges(spark, sf_dir)).drop("loops")
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
 
 
-@query(f"with {EVERY},{_round(0)}, nodes as (select src as node from e0 union select dst from e0) select node from nodes where node not in (select node from a0)")
-def dead_end_nodes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dead_end_nodes(all_edges(spark, sf_dir))
+def _corpus_file(spark: SparkSession, sf_dir: str) -> str:
+    """The documents, one a line: id, tab, the text with spaces for line ends."""
+    path = _folder(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("text"))
+    files.write_pairs(docs, path, "doc_id", "text")
+    return path
 
 
-@query(f"with {EVERY},{','.join(_round(k) for k in range(14))} select src, dst, count(*)::bigint as n from e14 group by src, dst")
-def remove_dead_ends_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.remove_dead_ends(all_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+def _matrix_file(spark: SparkSession, sf_dir: str) -> str:
+    """The matrix of the edges, which a file has, as a file."""
+    edges, path = _folder(spark, "edges"), _folder(spark, "matrix")
+    files.write_pairs(all_edges(spark, sf_dir), edges, "src", "dst")
+    jobs.build_matrix(spark, edges, path)
+    return path
 
 
-@query(f"with {WHOLE_PRODUCTS} select i, j, round(b, 6) as b from products")
-def partial_products_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linalg.partial_products(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir))
-    return found.select("i", "j", F.round("b", 6).alias("b"))
+def _vector_file(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "vector")
+    files.write_pairs(supplier_vector(spark, sf_dir), path, "j", "v")
+    return path
 
 
-@query(f"with {WHOLE_PRODUCTS} select i, round(sum(b), 5) as x from products group by i")
-def matvec_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir))
-    return found.select("i", F.round("x", 5).alias("x"))
+@query(r"select doc_id::varchar as title, length(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'))::bigint as n_content from documents")
+def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.corpus(spark, _corpus_file(spark, sf_dir)).select("title", F.length("content").cast("long").alias("n_content"))
 
 
-@query(f"""with {MATRIX}, summed as (select i, j, sum(a) as a from matrix group by i, j)
-select i, round(sum(coalesce(s_acctbal, 0.0) * a), 5) as x from summed left join supplier on s_suppkey = j group by i""")
-def matvec_summed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir), "sum")
-    return found.select("i", F.round("x", 5).alias("x"))
+@query(f"with {RENDERED} select term, postings from index")
+def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a corpus file to an index in ranges of terms, file by file, and back."""
+    path = _folder(spark, "index")
+    jobs.build_index(spark, _corpus_file(spark, sf_dir), path, unique_titles=True)
+    return files.lines(spark, path).select(files.key_of(F.col("value")).alias("term"), files.value_of(F.col("value")).alias("postings"))
 
 
-@query(f"with {WHOLE_PRODUCTS} select round(sum(b), 3) as total from products")
-def vector_total_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linalg.matvec(graph.stochastic_matrix(all_edges(spark, sf_dir)), whole_vector(spark, sf_dir))
-    return linalg.total(found).select(F.round("total", 3).alias("total"))
+@query(f"with {MATRIX} select i::int as i, j::int as j, round(a, 9) as a from matrix")
+def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells from an input of two folders, one of matrix lines and one of vector lines."""
+    rows = files.lines(spark, _matrix_file(spark, sf_dir), _vector_file(spark, sf_dir))
+    return files.parse_matrix(rows).withColumn("a", F.round("a", 9))
 
 
-@query(f"""with {EVERY}, degrees as (select src, count(*) as out_deg from e0 group by src)
-select dst || ' ' || src || ' ' || round(1.0::double / out_deg, 5)::varchar as line from e0 join degrees using (src)""")
-def matrix_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = graph.stochastic_matrix(all_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
-    return files.matrix_lines(cells).select(F.col("value").alias("line"))
+@query(f"with {PRODUCTS} select i::int as i, round(sum(b), 5) as x from products group by i")
+def matvec_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "product")
+    jobs.multiply(spark, _matrix_file(spark, sf_dir), _vector_file(spark, sf_dir), path)
+    return files.parse_vector(files.lines(spark, path)).select(F.col("j").alias("i"), F.round("v", 5).alias("x"))
 
 
-@query(f"""with {EVERY}, degrees as (select src, count(*) as out_deg from e0 group by src)
-select dst::int as i, src::int as j, round(1.0::double / out_deg, 5) as a from e0 join degrees using (src)""")
-def matrix_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = graph.stochastic_matrix(all_edges(spark, sf_dir)).withColumn("a", F.round("a", 5))
-    return files.parse_matrix(files.matrix_lines(cells).unionByName(_vector_lines(whole_vector(spark, sf_dir))))
+@query("select n_nationkey::int as src, n_nationkey::int as dst from nation")
+def remove_dead_ends_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of single loops alone, which the compatible mode leaves as it is."""
+    edges, path = _folder(spark, "loops"), _folder(spark, "pruned")
+    files.write_pairs(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("again")), edges, "n_nationkey", "again")
+    jobs.prune(spark, edges, path, compat=True)
+    return files.parse_edges(files.lines(spark, path))
 
 
-@query("select s_suppkey::int as j, s_acctbal as v from supplier")
-def vector_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _vector_lines(whole_vector(spark, sf_dir))
-    return files.parse_vector(entries.unionByName(files.matrix_lines(graph.stochastic_matrix(all_edges(spark, sf_dir)))))
+@query("select l_partkey::int as i, l_suppkey::int as j, l_quantity::double as a from lineitem")
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of four fields and of two: those of three or more are cells, by their first three."""
+    fields = [F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")]
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", *fields).alias("value"))
+    entries = supplier_vector(spark, sf_dir).select(F.concat_ws("\t", F.col("j").cast("string"), F.col("v").cast("string")).alias("value"))
+    return files.parse_matrix(rows.unionByName(entries), exact=False)

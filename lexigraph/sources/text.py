@@ -38,9 +38,14 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row_id"), key_of(F.col("value")).alias("title"), value_of(F.col("value")).alias("content"))
 
 
-def write_pairs(rows: DataFrame, path: str, key: str, value: str, ordered: bool = False) -> None:
-    """``key``, tab, ``value`` a line; ``ordered`` makes one file sorted by key."""
-    rows = rows.orderBy(key).coalesce(1) if ordered else rows
+def write_pairs(rows: DataFrame, path: str, key: str, value: str, ordered: bool = False, one_file: bool = False) -> None:
+    """``key``, tab, ``value`` a line.
+
+    ``ordered`` sorts by key over all files, which are ranges of keys in the order of their names; ``one_file`` makes
+    one sorted file in one task, for results that fit it.
+    """
+    rows = rows.orderBy(key) if ordered or one_file else rows
+    rows = rows.coalesce(1) if one_file else rows
     rows.select(F.concat_ws("\t", F.col(key).cast("string"), F.col(value).cast("string")).alias("value")).write.text(path)
 
 
@@ -57,10 +62,10 @@ def parse_edges(rows: DataFrame, kind: str = "int", value: str = "value") -> Dat
     return rows.select(parts[0].cast(kind).alias("src"), parts[1].cast(kind).alias("dst"))
 
 
-def parse_matrix(rows: DataFrame, value: str = "value") -> DataFrame:
-    """i, j, a of the lines with exactly three fields."""
+def parse_matrix(rows: DataFrame, value: str = "value", exact: bool = True) -> DataFrame:
+    """i, j, a of the lines with exactly three fields, or with three or more, shorter ones being left out."""
     parts = _fields(F.col(value))
-    cells = rows.where(F.size(parts) == 3)
+    cells = rows.where(F.size(parts) == 3 if exact else F.size(parts) >= 3)
     return cells.select(parts[0].cast("int").alias("i"), parts[1].cast("int").alias("j"), parts[2].cast("double").alias("a"))
 
 
@@ -88,8 +93,8 @@ def index_lines(index: DataFrame) -> DataFrame:
     return index.select("term", F.array_join(F.transform("postings", one), "\t").alias("rendered"))
 
 
-def write_index(index: DataFrame, path: str, ordered: bool = False) -> None:
-    write_pairs(index_lines(index), path, "term", "rendered", ordered)
+def write_index(index: DataFrame, path: str, ordered: bool = False, one_file: bool = False) -> None:
+    write_pairs(index_lines(index), path, "term", "rendered", ordered, one_file)
 
 
 def parse_index(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -105,7 +110,7 @@ def parse_index(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def stop_words(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """word: those of a file with one a line; by default those that FIXTURES.md lists."""
+    """word: those of a file with one a line; by default those that FIXTURES.md of this repository lists."""
     if path:
         return lines(spark, path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
     return spark.createDataFrame([(w,) for w in listed_words()], "word string")

@@ -54,3 +54,9 @@ def test_stripping_pairs_and_rounding(spark):
     pairs = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("a", 1.5)], "f string, s double").select(T.pair(F.col("f"), F.col("s")).alias("p"))
     assert [r.x for r in pairs.orderBy("p").select(T.pair_text(F.col("p")).alias("x")).collect()] == ["a\t1.5", "a\t2.0", "b\t1.0"]
     assert spark.range(1).select(T.rounded(F.lit(0.123455)).alias("x"), F.lit(5e-4).cast("string").alias("y")).first() == (0.12346, "5.0E-4")
+
+
+def test_counted_tokens(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "é"],), ([],), (["x"] * 5000,)], "w array<string>")
+    found = [[(x.token, x.n) for x in r.c] for r in rows.select(T.counted(F.col("w")).alias("c")).collect()]
+    assert found == [[("a", 1), ("b", 2), ("é", 1)], [], [("x", 5000)]]
