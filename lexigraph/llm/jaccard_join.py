@@ -506,3 +506,30 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
+
+
+#: All pairs that share a shingle, and what they reach: for small tables.
+ORACLE = r"""
+with recursive d as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents
+), k as materialized (
+  select t, min(doc_id) as first, count(*)::bigint as copies, regexp_extract_all(t, '[^\x20]+') as w from d group by t
+), s as materialized (
+  select distinct t, array_to_string(w[i : i + 4], ' ') as shingle
+  from (select t, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from k where len(w) > 0)
+), n as materialized (select t, count(*)::bigint as n from s group by t
+), c as (select a.t as x, b.t as y, count(*)::bigint as c from s a join s b using (shingle) where a.t <> b.t group by all
+), l as materialized (
+  select x, y from c join n p on p.t = x join n q on q.t = y where 10 * c >= 8 * (p.n + q.n - c)
+), r as (
+  select t, first from k union select y, r.first from r join l on x = r.t
+), g as (
+  select t, min(first) as class_id from r group by t
+), e as (
+  select x as t, sum(copies)::bigint as docs, count(*)::bigint as texts from l join k on k.t = y group by x
+)
+select doc_id, case when n is null then doc_id else class_id end as class_id,
+       case when n is null then 0 else copies - 1 + coalesce(docs, 0) end::bigint as n_links,
+       case when n is null then 0 else (copies > 1)::int + coalesce(texts, 0) end::bigint as n_texts
+from d join k using (t) join g using (t) left join n using (t) left join e using (t)
+"""

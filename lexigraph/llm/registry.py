@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
+    "op5_secret_scan": secret_scan.oracle(),
     "op7_chat_format": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

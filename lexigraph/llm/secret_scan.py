@@ -218,3 +218,89 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"), "n_markov"
     )
+
+
+def oracle() -> str:
+    """The samples, the chains, the fixed patterns and the scores in DuckDB's SQL, in this module's constants."""
+    key = KEY[1:-1]
+    places = lambda name, source, pattern, kind, group: f"""
+{name}_m as (
+  select doc_id, {source} as s, unnest(regexp_extract_all({source}, {pattern})) as m, unnest(regexp_extract_all({source}, {pattern}, {group})) as v,
+         unnest(regexp_split_to_array({source}, {pattern})[:-2]) as gap, generate_subscripts(regexp_extract_all({source}, {pattern}), 1) as pos
+  from {name}_t where regexp_matches({source}, {pattern})
+), {name} as (
+  select doc_id, {kind} as kind, m, v, (sum(length(gap) + length(m)) over w)::bigint - length(m) as a, (sum(length(gap) + length(m)) over w)::bigint as b
+  from {name}_m window w as (partition by doc_id order by pos)
+)"""
+    blanked = lambda name, source, which: f"""
+{name}_b as (
+  select doc_id, string_agg(gap || case when {which} then repeat(' ', length(m)) else m end, '' order by pos) as head, sum(length(gap) + length(m))::bigint as done
+  from {name}_m group by doc_id
+), {name}_r as (
+  select t.doc_id, t.t, case when b.doc_id is null then {source} else head || substr({source}, done + 1) end as rest
+  from {name}_t t left join {name}_b b using (doc_id)
+)"""
+    assign, access, hex_ = (f"$re${p}$re$" for p in (ASSIGN, ACCESS, HEX))
+    pair = lambda c, i: f"instr('{ALPHABET}', substr({c}, {i}, 1))"
+    score = lambda name, source: f"""
+{name} as materialized (
+  select c.doc_id, c.a, c.b, c.m, len(list_distinct(string_split(c.m, ''))) as letters,
+         sum(coalesce(w.w, 0)) / (length(c.m) - 1) as mean
+  from {source} c, unnest(range(1, length(c.m))) as u(i) left join model w on w.x = {pair('c.m', 'i')} and w.y = {pair('c.m', 'i + 1')}
+  group by c.doc_id, c.a, c.b, c.m
+)"""
+    odd = f"letters >= {DISTINCT} and mean > {MARGIN} * greatest(1, {FULL - 1.0} / (length(m) - 1))"
+    return f"""
+with d as materialized (select doc_id, coalesce(text, '') as t from documents),
+v as (
+  select coalesce(doc_id::varchar, 'null') as id, unnest(list_concat(list_concat(regexp_extract_all(t, {assign}, 2), regexp_extract_all(t, {access})),
+         regexp_extract_all(t, {hex_}))) as token from d
+), strings as (select token from v where length(token) >= 12 order by md5(id || ':' || token), token limit {TRAINING_STRINGS}
+), made as (select translate(to_base64(unhex(sha256('key:' || i))), '=', '') as token from range({GENERATED}) r(i)
+), chosen as (
+  select regexp_replace(regexp_replace(regexp_replace(t, {assign}, ' ', 'g'), {access}, ' ', 'g'), {hex_}, ' ', 'g') as t from d
+  where ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 5))::int < floor(least(1.0, {TRAINING_DOCS}.0 / greatest((select count(*) from d), 1)) * 1048576)
+), words as (select regexp_extract_all(t, '[A-Za-z]{{2,}}') as w from chosen
+), threes as (
+  select i % 8 as k, w[i * 3 + 1 : i * 3 + 3] as x from (select w, unnest(range(0, len(w) // 3)) as i from words)
+), joined as (
+  select case when k = 7 then upper(array_to_string(x, '_'))
+              when k >= 5 then array_to_string([upper(y[1]) || lower(y[2:]) for y in x], '') else x[1] || sep || x[2] || sep || x[3] end as token
+  from (select *, (['_', '-', '/', '.', '=', '', '', '_'])[k + 1] as sep from threes)
+), samples as (
+  select token, true as random from strings union all select token, true from made
+  union all select token, false from joined union all select unnest(regexp_extract_all(t, '[{key}]{{4,}}')), false from chosen
+), counted as (
+  select random, substr(token, i, 2) as p, count(*) as n from (select random, token, unnest(range(1, length(token))) as i from samples) group by all
+), letters as (select i as x, substr('{ALPHABET}', i, 1) as c from range(1, {len(ALPHABET) + 1}) r(i)
+), grid as (
+  select r.random, a.x, b.x as y, coalesce(n, 0) as n from (values (true), (false)) r(random), letters a, letters b
+  left join counted q on q.random = r.random and q.p = a.c || b.c
+), logs as (
+  select random, x, y, ln((n + 10.0 * (sum(n) over (partition by random, y) + 1) / (sum(n) over (partition by random) + {len(ALPHABET)})) / (sum(n) over (partition by random, x) + 10.0)) as l
+  from grid
+), model as materialized (select x, y, round(sum(case when random then l else -l end), 4) as w from logs group by x, y
+), assign_t as (select doc_id, t from d),{places('assign', 't', assign, 0, 2)},{blanked('assign', 't.t', 'length(v) >= 12')},
+access_t as (select doc_id, t, rest from assign_r),{places('access', 't', access, 1, 0)},
+access_rest_t as (select doc_id, t, rest from assign_r),{places('access_rest', 'rest', access, 1, 0)},{blanked('access_rest', 't.rest', 'true')},
+hex_t as (select doc_id, t from d),{places('hex', 't', hex_, 2, 0)},
+hex_rest_t as (select doc_id, t, rest from access_rest_r),{places('hex_rest', 'rest', hex_, 2, 0)},{blanked('hex_rest', 't.rest', 'true')},
+run_t as (select doc_id, rest from hex_rest_r),{places('run', 'rest', "'[" + key + "]{12,}'", 3, 0)},{score('run_score', 'run')},
+part_t as (select row_number() over () as doc_id, doc_id as id, a as start, m as t from run_score where not ({odd}) and regexp_matches(m, '[/._=-]')),
+{places('part', 't', "'" + PART + "'", 3, 0).strip()},{score('part_score', 'part')},
+base as (
+  select doc_id, a, kind, b from assign where length(v) >= 12 union all select doc_id, a, kind, b from access union all select doc_id, a, kind, b from hex
+), everything as (
+  select * from base union all select doc_id, a, 3, b from run_score where {odd}
+  union all select p.id, s.a + p.start, 3, s.b + p.start from part_score s join part_t p using (doc_id) where {odd}
+), shown as (
+  select doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+         count(*) filter (where kind = 3) as n_markov,
+         string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || a || ':' || b, ',' order by a, kind, b) filter (where kind < 3) as base,
+         string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || a || ':' || b, ',' order by a, kind, b) as spans
+  from everything group by doc_id
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_markov, 0)::bigint as n_markov
+from d left join shown using (doc_id)
+"""

@@ -154,3 +154,14 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100), 300: 300, 301: 300, 302: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_query_against_its_oracle(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    found = J.op4_jaccard_join(spark, "/root/testdata/sf0.001")
+    columns = sorted(found.columns)
+    want = db.sql(f"select {', '.join(columns)} from ({J.ORACLE})").fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(want)

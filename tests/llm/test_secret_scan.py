@@ -115,3 +115,22 @@ def test_chains_of_documents_find_planted_keys(spark):
     found = {r.doc_id: r.n_markov for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     share = {name: sum(found[k * 100 + i] > 0 for i in range(100)) for k, name in enumerate(kinds)}
     assert all(share[name] >= 95 for name in list(kinds)[:5]) and all(share[name] <= 15 for name in list(kinds)[5:]), repr(share)
+
+
+def test_query_against_its_oracle_with_planted_keys(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(alnum, k=n))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(10_000 + i, t) for i, t in enumerate(texts())]
+    rows += [(20_000 + i, f"ends {key(rng.randrange(10, 40))} and https://a.example.org/in/{key(24)} AKIA{key(20).upper()}/{key(30)}-x") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = S.op5_secret_scan(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = sorted(found.columns)
+    got = sorted(map(tuple, found.select(*columns).collect()))
+    assert got == sorted(db.sql(f"select {', '.join(columns)} from ({S.oracle()})").fetchall())
+    assert sum(r[columns.index("n_markov")] for r in got) > 500
