@@ -23,12 +23,13 @@ def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a reread of the file and no recomputation, and rows that depend on task
-    ids or sampling (range partitions, row ids) are fixed from here on. ``few`` is for tables much smaller than the
-    input: they are written by two tasks a core, however many partitions the shuffle before has, so that loops don't
-    leave thousands of tiny files.
+    ids or sampling (range partitions, row ids) are fixed from here on. ``few`` is for tables of narrow rows, which loops
+    would else leave in thousands of tiny files: they are written by two tasks a core, or by a quarter of the shuffle
+    partitions if that is more, so that no task gets more than four partitions' rows on a cluster with many of them.
     """
     if few:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+        spark = df.sparkSession
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = f"{shared_dir(df.sparkSession)}/lexigraph-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
