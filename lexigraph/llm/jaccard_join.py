@@ -122,11 +122,11 @@ def root_paths(reps: DataFrame, roots: list[tuple[int, int]]) -> DataFrame:
     return reps.select("rep", steps).select("rep", F.xxhash64("step.at.run", "step.at.position", "step.value").alias("path"))
 
 
-def child_paths(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, path: the buckets that those of ``buckets`` are split into."""
+def child_paths(buckets: DataFrame) -> DataFrame:
+    """rep, path: the buckets that those of ``buckets`` (path, rep, bits) are split into."""
     chance = int((1 << 20) / (LEAST * POSITIONS))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64("path", p), F.lit(1 << 20)) < chance)
-    down = buckets.select("rep", "path", F.explode(chosen).alias("p")).join(reps.select("rep", "bits"), "rep")
+    down = buckets.select("rep", "path", "bits", F.explode(chosen).alias("p"))
     return down.select("rep", F.xxhash64("path", "p", F.substring("bits", F.col("p") * 2 + 1, F.lit(2))).alias("path"))
 
 
@@ -201,8 +201,8 @@ def bucket_links(buckets: DataFrame, reps: DataFrame, loose: float = LOOSE) -> D
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def hub_classes(large: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
-    """path, rep, size, class, near of each set of the large buckets (path, rep, size).
+def hub_classes(large: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
+    """path, rep, size, bits, class, near of each set of the large buckets (path, rep, size, bits).
 
     near is a set of the bucket's hub that the set is similar to by sketch, class the first hub set of its component
     within the hub; both are null where no hub set is similar. A set meets its own tile and the hub, so a bucket of n
@@ -211,9 +211,9 @@ def hub_classes(large: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose:
     tiles = F.ceil(F.col("size") / bucket).cast("int")
     rows = large.withColumn("tiles", tiles).withColumn("home", F.pmod(F.xxhash64("rep", "path"), F.col("tiles")).cast("int"))
     everywhere = F.when(F.col("home") == 0, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("home"))
-    rows = rows.select("path", "rep", "size", "home", F.explode(everywhere).alias("tile"))
+    rows = rows.select("path", "rep", "size", "bits", "home", F.explode(everywhere).alias("tile"))
     # The hub's rows come in the same order in each tile, so that its classes have the same names.
-    rows = rows.join(reps.select("rep", "bits"), "rep").repartition("path", "tile").sortWithinPartitions("path", "tile", "home", "rep")
+    rows = rows.repartition("path", "tile").sortWithinPartitions("path", "tile", "home", "rep")
     least = math.ceil(loose * POSITIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,19 +231,19 @@ def hub_classes(large: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose:
             names = [pa.array(rep[np.maximum(x, 0)] if n else np.zeros(len(own), np.int64)) for x in (label[near] if n else near, near)]
             names = [pc.if_else(found, pa.scalar(None, pa.int64()), x) for x in names]
             kept = group.take(pa.array(own))
-            columns = [kept.column(c).combine_chunks() for c in ("path", "rep", "size")]
-            yield pa.RecordBatch.from_arrays([*columns, *names], ["path", "rep", "size", "class", "near"])
+            columns = [kept.column(c).combine_chunks() for c in ("path", "rep", "size", "bits")]
+            yield pa.RecordBatch.from_arrays([*columns, *names], ["path", "rep", "size", "bits", "class", "near"])
 
-    return rows.mapInArrow(run, "path long, rep long, size long, class long, near long")
+    return rows.mapInArrow(run, "path long, rep long, size long, bits binary, class long, near long")
 
 
-def rest_links(buckets: DataFrame, reps: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
-    """(a, b): links of dense buckets (path, rep, size, main): each set outside the main class is compared with all."""
+def rest_links(buckets: DataFrame, bucket: int = BUCKET, loose: float = LOOSE) -> DataFrame:
+    """(a, b): links of dense buckets (path, rep, size, bits, main): each set outside the main class is compared with all."""
     tiles = F.ceil(F.col("size") / bucket).cast("int")
     rows = buckets.withColumn("tiles", tiles)
     tile = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("rep", "path"), F.col("tiles")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.select("path", "rep", F.when(F.col("main"), 0).otherwise(2).alias("side"), F.explode(tile).alias("tile"))
-    rows = rows.join(reps.select("rep", "bits"), "rep").repartition("path", "tile").sortWithinPartitions("path", "tile")
+    rows = rows.select("path", "rep", "bits", F.when(F.col("main"), 0).otherwise(2).alias("side"), F.explode(tile).alias("tile"))
+    rows = rows.repartition("path", "tile").sortWithinPartitions("path", "tile")
     least = math.ceil(loose * POSITIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,8 @@ def candidate_classes(reps: DataFrame, roots: list[tuple[int, int]], bucket: int
         large = sized.where(F.col("size") > bucket)
         if large.isEmpty():
             break
-        met = materialise(hub_classes(large, reps, bucket), "hub-classes", few=True)
+        # From here to the next level the sets carry their sketches.
+        met = materialise(hub_classes(large.join(reps.select("rep", "bits"), "rep"), bucket), "hub-classes", few=True)
         links.append(met.where("near <> rep").select(F.col("rep").alias("a"), F.col("near").alias("b")).distinct())
         counts = met.where("class is not null").groupBy("path", "class").agg(F.count("*").alias("k"))
         most = counts.groupBy("path").agg(F.max(F.struct("k", "class")).alias("most")).select("path", "most.k", F.col("most.class").alias("widest"))
@@ -310,14 +311,14 @@ def candidate_classes(reps: DataFrame, roots: list[tuple[int, int]], bucket: int
         met = met.join(materialise(most, "widest-classes", few=True), "path", "left")
         met = met.withColumn("rest", F.col("size") - F.coalesce("k", F.lit(0))).withColumn("main", F.coalesce(F.col("class") == F.col("widest"), F.lit(False)))
         met = materialise(met.where("rest > 0").drop("k", "widest", "near"), "large-buckets", few=True)
-        links.append(rest_links(met.where(F.col("rest") <= bucket), reps, bucket))
+        links.append(rest_links(met.where(F.col("rest") <= bucket), bucket))
         open_ = met.where(F.col("rest") > bucket)
         if open_.isEmpty():
             break
         if level == depth:
             links.append(whole_links(open_, reps, bucket))
         else:
-            rows = child_paths(open_, reps)
+            rows = child_paths(open_)
     ends = small[0]
     for more in small[1:]:
         ends = ends.unionByName(more)
