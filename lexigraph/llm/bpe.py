@@ -132,11 +132,11 @@ def split_words(text: Column, special: list[str]) -> Column:
     return split(F.when(any_special, paired).otherwise(words(text)))
 
 
-def common_words(words: DataFrame, most: int = TABLE_WORDS, column: str = "__words") -> list[str]:
-    """The words that most rows of ``words`` have, up to ``most`` of those that more than one row has.
+def common_words(words: DataFrame, most: int = TABLE_WORDS, column: str = "__words") -> DataFrame:
+    """word: those that most rows of ``words`` have, up to ``most`` of those that more than one row has.
 
     Counted over all rows, within tasks first. Steps of frequency are taken from the top as long as they fit, so the
-    driver reads some hundred sums and at most ``most`` words.
+    driver reads some hundred sums.
     """
     counts = words.select(F.explode(F.array_distinct(column)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialise(counts.select("word", F.floor(F.log2("n") * 8).cast("int").alias("step")), "words")
@@ -146,14 +146,31 @@ def common_words(words: DataFrame, most: int = TABLE_WORDS, column: str = "__wor
         if total > most:
             break
         least = row["step"]
-    return [] if least is None else [row["word"] for row in counts.where(F.col("step") >= least).select("word").collect()]
+    return counts.where(F.col("step") >= (1 << 30 if least is None else least)).select("word")
+
+
+def encoded_words(words: DataFrame, source: Broadcast) -> DataFrame:
+    """word, ids of each of the distinct ``words`` (word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(source.value)
+        for batch in batches:
+            ids, starts = vocabulary.encode_words(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids array<int>")
 
 
 class WordTable:
     """Distinct words, their ids in a row, and where each word's ids start (one more at the end)."""
 
-    def __init__(self, words: list[str], ids: np.ndarray, starts: np.ndarray):
-        self.words, self.ids, self.starts = pa.array(words, pa.string()), ids, starts
+    def __init__(self, encoded: pa.Table):
+        encoded = encoded.combine_chunks()
+        one = lambda c, kind: c.chunk(0) if c.num_chunks else pa.array([], kind)
+        self.words = one(encoded.column("word"), pa.string())
+        ids = one(encoded.column("ids"), pa.list_(pa.int32()))
+        self.ids = np.asarray(ids.flatten()).astype(np.int64)
+        self.starts = np.asarray(ids.offsets).astype(np.int64) - ids.offsets[0].as_py() if len(ids) else np.zeros(1, np.int64)
 
     def runs(self, vocabulary: Vocabulary, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each of ``words`` where its own begin among them and how many it has."""
@@ -208,7 +225,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     sent, split = _sent(docs, path, text, keep, table_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = Vocabulary(sent.value[0]), WordTable(*sent.value[1:])
+        vocabulary, known = Vocabulary(sent.value[0]), WordTable(sent.value[1])
         for batch in word_blocks(batches):
             ids, bounds = _encoded(vocabulary, known, batch.column("__words"))
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
@@ -243,7 +260,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
     types = f"{_types(docs, [doc_id])}n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = Vocabulary(sent.value[0]), WordTable(*sent.value[1:])
+        vocabulary, known = Vocabulary(sent.value[0]), WordTable(sent.value[1])
         written = pa.array([f"{i},".encode() for i in range(len(vocabulary.pieces))], pa.large_binary())
         for batch in word_blocks(batches):
             ids, bounds = _encoded(vocabulary, known, batch.column("__words"))
@@ -276,8 +293,9 @@ def _sent(docs: DataFrame, path: str, text: str, keep: list[str], table_words: i
     source = read_vocabulary(path)
     special = [t["content"] for t in json.loads(source)["added_tokens"]]
     split = docs.select(*keep, split_words(F.col(text), special).alias("__words"))
-    words = common_words(split, table_words)
-    return docs.sparkSession.sparkContext.broadcast((source, words, *Vocabulary(source).encode_words(words))), split
+    send = docs.sparkSession.sparkContext.broadcast
+    # The table's rows, ``table_words`` at most, pass the driver as Arrow data.
+    return send((source, encoded_words(common_words(split, table_words), send(source)).toArrow())), split
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
