@@ -81,11 +81,18 @@ def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8
     if len(set(labels)) < 2:
         n = sum(counts.values())
         return Model(np.zeros(size, np.float32), float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))) if n else 0.0)
-    found = []
-    for row in rows:
-        block = H.Bytes([row.encode("utf-8", "surrogatepass")])
-        buckets, n = np.unique(np.concatenate([b for b, _ in features(block)]), return_counts=True)
-        found.append((buckets, (n / max(1, n.sum())).astype(np.float32)))
+    at, buckets_, shares_ = [0], [], []  # of all rows in a row: thousands of small arrays would stay with the driver
+    for k in range(0, len(rows), 256):
+        part = []
+        for row in rows[k : k + 256]:
+            block = H.Bytes([row.encode("utf-8", "surrogatepass")])
+            buckets, n = np.unique(np.concatenate([b for b, _ in features(block)]), return_counts=True)
+            part.append((buckets.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+            at.append(at[-1] + len(buckets))
+        buckets_.append(np.concatenate([b for b, _ in part]))
+        shares_.append(np.concatenate([n for _, n in part]))
+    all_buckets, all_shares = np.concatenate(buckets_), np.concatenate(shares_)
+    del buckets_, shares_
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim)).astype(np.float32)
     output = np.zeros((2, dim), np.float32)
@@ -95,7 +102,7 @@ def fit(rows: list[str], labels: list[int], counts: dict[int, int], dim: int = 8
         if step % len(rows) == 0:
             order = rng.permutation(len(rows))
         i = order[step % len(rows)]
-        buckets, shares = found[i]
+        buckets, shares = all_buckets[at[i] : at[i + 1]], all_shares[at[i] : at[i + 1]]
         now = rate * (1 - step / steps)
         mean = shares @ vectors[buckets]
         odds = output @ mean + bias
