@@ -8,7 +8,7 @@ import numpy as np
 
 P = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Texts are worked on in blocks of about so many bytes, each text whole.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LETTERS = np.zeros(256, bool)
