@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet and reads
 them again as the next one's documents.
+
+Null texts are empty and null ids and sources values of their own; rows that repeat are copies, of which one stays; an
+empty table makes an empty corpus. Very long texts pass all stages whole. All but the last stage return the columns of
+the documents as they were, whatever further ones there are and whatever their names.
 """
 
 from __future__ import annotations
