@@ -7,6 +7,8 @@ chunks' identifiers, its recipe, and documents are equal exactly if their recipe
 
 Equality: texts are compared after each run of ASCII white space became one space; null counts as empty. Empty texts
 equal each other. Null ids sort last. Rows that repeat an id with an equal text are copies too, and one of them stays.
+An empty table gives an empty result. A very long text is a list of chunks of at most 4,096 characters. Columns other
+than the id and the text are not read; ``deduplicated`` returns them as they were, whatever their names.
 """
 
 from __future__ import annotations

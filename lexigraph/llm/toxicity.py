@@ -7,7 +7,9 @@ in a table of bounded size. Weights are trained by follow-the-regularised-leader
 the less a term's presence depends on the label; the pairs of a text count in proportion to SHORT over its number of
 terms, and factors shrink. So long documents gather little noise, and no term or pair is ruled out beforehand.
 
-Null texts are empty. Without labels of both classes the score is the classes' smoothed frequency.
+Null texts are empty. Without labels of both classes the score is the classes' smoothed frequency. Repeated rows score
+alike, an empty table gives an empty result, a very long text is scored whole as a block of its own. Columns other than
+the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -76,3 +76,13 @@ def test_many_sources_in_many_partitions(spark):
     frame = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(7)
     found = {r.source: r.target for r in M.source_targets(frame, (3, 1, 2), 1.5, 2.0).collect()}
     assert found == pytest.approx(want)
+
+
+def test_mixed_with_clashing_columns_and_very_long_texts(spark):
+    rows = [(i, "s" if i % 3 else None, "w " * (100_000 if i == 5 else i % 7), 0.5, 9, "x", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, origin string, body string, rate double, copies int, of string, __copies int")
+    found = M.mixed(docs, text="body", doc_id="id", source="origin")
+    assert found.columns == docs.columns
+    plan = {r.doc_id: r.copies for r in M.plan_mix(docs, text="body", doc_id="id", source="origin").collect()}
+    assert sorted(r.id for r in found.collect()) == sorted(i for i, n in plan.items() for _ in range(n))
+    assert {(r.rate, r.copies, r.of) for r in found.collect()} == {(0.5, 9, "x")}

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexigraph.llm import mixing, quality
@@ -102,3 +103,20 @@ def test_stages_take_nulls_and_empty_tables(spark):
         for _, stage in P.STAGES:
             docs = P.materialise(stage(spark, docs, SF), "odd")
         assert docs.count() <= 2 * len(rows)
+
+
+def test_stages_take_very_long_texts_and_clashing_columns(spark):
+    docs = table(spark, SF, "documents").limit(60)
+    words = " ".join(f"w{i % 977}x{i % 13}" for i in range(40_000))
+    more = spark.createDataFrame([(90_001, words, "en", "a", 1), (90_002, words + " end", "en", "a", 1)], docs.schema)
+    docs = docs.unionByName(more)
+    for name in ("rate", "copies", "rep", "t", "ids", "label", "score", "size"):
+        docs = docs.withColumn(name, F.lit(7))
+    columns = docs.columns
+    for name, stage in P.STAGES[1:]:
+        docs = P.materialise(stage(spark, docs, SF), "odd")
+        if name != P.STAGES[-1][0]:
+            assert docs.columns == columns and {r.rate for r in docs.select("rate").distinct().collect()} == {7}
+        if name == "n-gram Jaccard join":
+            assert [r.doc_id for r in docs.where("doc_id > 90000").collect()] == [90_001]
+    assert docs.count() > 0
