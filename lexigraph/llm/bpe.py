@@ -2,10 +2,10 @@
 
 Spark splits the texts into words with the tokenizer's own pattern and counts, over the whole corpus, the rows that each
 distinct word is in. The words of most rows, up to TABLE_WORDS, make a table: each is encoded once, and the table, whose
-size that number bounds, goes to all tasks. A block of documents finds its distinct words there and joins their ids back
-to the words' positions; decoding joins the ids to the table of pieces in the same way. Words beyond the table, which
-few rows have, are encoded once in each block that has them: to give these one table too, their positions and, to meet
-them again, all texts would have to be shuffled (see the README). Every word of every text is encoded in either way.
+size that number bounds, goes to all tasks. An Arrow batch of documents finds its distinct words there and, block by
+block, joins their ids back to the words' positions; decoding joins the ids to the table of pieces in the same way. Words
+beyond the table, which few rows have, are encoded once in each batch that has them: to give these one table too, their
+positions and, to meet them again, all texts would have to be shuffled (see the README). Every word of every text is encoded in either way.
 
 The JVM's tables of Unicode may be older than the library's. A text with a code point that they don't know is not split
 but encoded whole, by the library's own pattern.
@@ -36,8 +36,8 @@ from lexigraph.llm.scratch import materialise, table
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for Python's engines.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of a block, whose table of distinct words and arrays bound a task's memory; a longer text is a block alone.
-BLOCK_WORDS = 1 << 18
+#: Words of a block, whose ids and bytes are in memory at once; a longer text is a block alone.
+BLOCK_WORDS = 1 << 16
 #: Words of the corpus's table, at most.
 TABLE_WORDS = 1 << 18
 #: A code point that the JVM's tables of Unicode don't have.
@@ -192,31 +192,35 @@ def _gathered(values: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def word_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterator[pa.RecordBatch]:
-    """Rows of the batches with about ``most`` words together, at least one row."""
+def word_blocks(bounds: np.ndarray, most: int = BLOCK_WORDS) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) rows of blocks with about ``most`` words together, at least one row."""
+    start = 0
+    while start < len(bounds) - 1:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, "right")) - 1)
+        yield start, end
+        start = end
+
+
+def encoded_blocks(vocabulary: Vocabulary, known: WordTable, batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterator[tuple]:
+    """Rows of the batches, their ids in a row, and each document's bounds in these.
+
+    A batch's distinct words get their ids once; its documents then follow in blocks.
+    """
     for batch in batches:
-        bounds = np.asarray(batch.column("__words").offsets, dtype=np.int64)
-        start = 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, "right")) - 1)
-            yield batch.slice(start, end - start)
-            start = end
-
-
-def _encoded(vocabulary: Vocabulary, known: WordTable, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a block of documents in a row, and each document's bounds in them."""
-    bounds = np.asarray(words.offsets, dtype=np.int64)
-    flat = words.values.slice(bounds[0], bounds[-1] - bounds[0])
-    bounds = bounds - bounds[0]
-    coded = flat.dictionary_encode()
-    at = np.asarray(coded.indices)
-    ids, begin, count = known.runs(vocabulary, coded.dictionary)
-    # Join by position: word k of the text gets the run of ids that its distinct word has.
-    counts = count[at]
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    place = np.repeat(begin[at] - ends[:-1], counts)
-    place += np.arange(ends[-1])
-    return ids[place], ends[bounds]
+        words = batch.column("__words")
+        bounds = np.asarray(words.offsets, dtype=np.int64)
+        coded = words.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        at = np.asarray(coded.indices)
+        ids, begin, count = known.runs(vocabulary, coded.dictionary)
+        for start, end in word_blocks(bounds, most):
+            # Join by position: word k of the text gets the run of ids that its distinct word has.
+            here = at[bounds[start] : bounds[end]]
+            counts = count[here]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            place = np.repeat(begin[here] - ends[:-1], counts)
+            place += np.arange(ends[-1])
+            yield batch.slice(start, end - start), ids[place], ends[bounds[start : end + 1] - bounds[start]]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -226,8 +230,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = Vocabulary(sent.value[0]), WordTable(sent.value[1])
-        for batch in word_blocks(batches):
-            ids, bounds = _encoded(vocabulary, known, batch.column("__words"))
+        for batch, ids, bounds in encoded_blocks(vocabulary, known, batches):
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], column], [*keep, "ids"])
 
@@ -262,8 +265,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = Vocabulary(sent.value[0]), WordTable(sent.value[1])
         written = pa.array([f"{i},".encode() for i in range(len(vocabulary.pieces))], pa.large_binary())
-        for batch in word_blocks(batches):
-            ids, bounds = _encoded(vocabulary, known, batch.column("__words"))
+        for batch, ids, bounds in encoded_blocks(vocabulary, known, batches):
             out: list[list] = [[], []]
             for k, (values, cut) in enumerate(((written, 1), (vocabulary.pieces, 0))):
                 data, ends = _gathered(values, ids)
