@@ -38,6 +38,8 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of a block, whose ids and bytes are in memory at once; a longer text is a block alone.
 BLOCK_WORDS = 1 << 16
+#: Words that are Python strings at once.
+STEP = 1 << 14
 #: Words of the corpus's table, at most.
 TABLE_WORDS = 1 << 18
 #: A code point that the JVM's tables of Unicode don't have.
@@ -177,11 +179,16 @@ class WordTable:
         found = pc.index_in(words, value_set=self.words)
         miss = np.asarray(found.is_null())
         at = np.asarray(found.fill_null(0)).astype(np.int64)
-        ids, starts = vocabulary.encode_words(words.filter(pa.array(miss)).to_pylist())
         begin, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         begin[~miss], count[~miss] = self.starts[at[~miss]], np.diff(self.starts)[at[~miss]]
-        begin[miss], count[miss] = len(self.ids) + starts[:-1], np.diff(starts)
-        return np.concatenate([self.ids, ids]), begin, count
+        parts, size, places = [self.ids], len(self.ids), np.flatnonzero(miss)
+        for k in range(0, len(places), STEP):
+            some = places[k : k + STEP]
+            ids, starts = vocabulary.encode_words(words.take(pa.array(some)).to_pylist())
+            begin[some], count[some] = size + starts[:-1], np.diff(starts)
+            parts.append(ids)
+            size += len(ids)
+        return np.concatenate(parts), begin, count
 
 
 def _gathered(values: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
