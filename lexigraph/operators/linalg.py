@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigraph.sources.scratch import dealt
+
 
 def collapsed(cells: DataFrame, duplicates: str = "collapse") -> DataFrame:
-    """One row per cell: the largest of its values, or their sum with ``duplicates='sum'``."""
+    """One row per cell: the largest of its values, or their sum with ``duplicates='sum'``.
+
+    Most cells occur once, so summing them up before the shuffle would fill tables in the memory of the map tasks for
+    nothing: they move as they are, to partitions of bounded size.
+    """
     combine = {"collapse": F.max, "sum": F.sum}[duplicates]
-    return cells.groupBy("j", "i").agg(combine("a").alias("a"))
+    return dealt(cells, "j", "i").groupBy("j", "i").agg(combine("a").alias("a"))
 
 
 def collapsed_vector(vector: DataFrame) -> DataFrame:

@@ -35,6 +35,23 @@ def materialise(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the files that a table is read from, compressed as they are, for one partition of ``dealt``.
+DEALT = 8 << 20
+
+
+def dealt(df: DataFrame, *keys: str, each: int = DEALT) -> DataFrame:
+    """``df`` by ``keys``, in as many partitions as its input's size asks for, so that none grows with the table.
+
+    The size is that of all files and local rows that ``df`` reads; where Spark knows none, the session's number holds.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= spark._jsparkSession.sessionState().conf().defaultSizeInBytes():
+        return df.repartition(*keys)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // each)), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``materialise`` returned and that nothing reads any more."""
     spark = df.sparkSession

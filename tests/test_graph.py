@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from lexigraph.operators import graph, linalg
+from lexigraph.sources import scratch
 from lexigraph.sources import text as files
 
 NINE = [(3, 1), (4, 1), (1, 2), (2, 2), (3, 2), (4, 3), (1, 3), (1, 4), (3, 4)]
@@ -97,3 +98,14 @@ def test_random_graphs_against_brute_force(spark):
         assert {r.node for r in graph.dead_end_nodes(got).collect()} == set()
     degrees = {r.node: (r.in_deg, r.out_deg, r.loops) for r in graph.node_degrees(edges(spark, [(1, 1), (1, 2), (1, 2)])).collect()}
     assert degrees == {1: (1, 3, 1), 2: (2, 0, 0)}
+
+
+def test_cells_move_to_partitions_of_bounded_size_before_they_are_summed(spark, tmp_path):
+    spark.range(60_000).selectExpr("id % 500 as i", "id % 700 as j", "cast(1 as double) as a").write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    plan = linalg.collapsed(cells)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("partial_max") < plan.index("Exchange")  # a plan's last step comes first
+    assert linalg.collapsed(cells).count() == 3500
+    size = sum(f.stat().st_size for f in (tmp_path / "cells").glob("*.parquet"))
+    assert scratch.dealt(cells, "i", each=size // 50).rdd.getNumPartitions() in range(45, 56)
+    assert scratch.dealt(cells, "i", each=size).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
