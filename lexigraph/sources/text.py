@@ -106,6 +106,16 @@ def parse_index(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.select(parts[0].alias("term"), F.transform(F.slice(parts, 2, F.size(parts)), one).alias("postings"))
 
 
+def parse_postings(rows: DataFrame, value: str = "value") -> DataFrame:
+    """term, title, weight: ``parse_index`` with a row per posting, each parsed on its own, whatever a line's length."""
+    lists = rows.select(key_of(F.col(value)).alias("term"), F.split(F.col(value), "\t").alias("parts"))
+    # Outer: for an inner one, Catalyst adds a filter on the array's size, and makes the line once more for it.
+    found = lists.select("term", F.posexplode_outer("parts").alias("place", "posting")).where("place > 0")
+    weight = F.substring_index("posting", ":", -1)
+    title = F.when(F.instr("posting", ":") > 0, F.left("posting", F.length("posting") - F.length(weight) - 1)).otherwise(F.col("posting"))
+    return found.select("term", title.alias("title"), weight.cast("double").alias("weight"))
+
+
 # Stop words
 
 

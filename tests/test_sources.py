@@ -98,3 +98,10 @@ def test_discarded_tables_are_gone_and_clusters_need_a_shared_folder(spark, monk
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session)
+
+
+def test_postings_of_lines_are_parsed_one_by_one(spark):
+    lines = spark.createDataFrame([("cat\ta:b:0.5\tc:5.0E-4",), ("dog\td:0.0",), ("none",)], "value string")
+    found = files.parse_postings(lines)
+    assert sorted(map(tuple, found.collect())) == [("cat", "a:b", 0.5), ("cat", "c", 5e-4), ("dog", "d", 0.0)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("split(") == 1
