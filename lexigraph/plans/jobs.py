@@ -11,7 +11,7 @@ from lexigraph.sources import text as files
 def build_index(spark: SparkSession, corpus: str, out: str, stop: str | None = None, ordered: bool = True, unique_titles: bool = False) -> None:
     """The inverted index of the documents in ``corpus``, a term a line; ``stop`` is a file of stop words."""
     docs = files.corpus(spark, corpus)
-    files.write_index(index.inverted_index(docs, files.stop_words(spark, stop), unique_titles), out, ordered)
+    files.write_index(index.inverted_index(docs, files.stop_words(spark, stop), unique_titles, ordered), out, ordered)
 
 
 def build_matrix(spark: SparkSession, edges: str, out: str) -> None:
