@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
-from lexigraph.functions.stemmer import stemmed
+from lexigraph.functions.stemmer import stem_sql, stemmed
 from lexigraph.operators import index
 from lexigraph.sources import text as files
 
@@ -60,3 +62,21 @@ def test_counted_tokens(spark):
     rows = spark.createDataFrame([(["b", "a", "b", "é"],), ([],), (["x"] * 5000,)], "w array<string>")
     found = [[(x.token, x.n) for x in r.c] for r in rows.select(T.counted(F.col("w")).alias("c")).collect()]
     assert found == [[("a", 1), ("b", 2), ("é", 1)], [], [("x", 5000)]]
+
+
+def test_generated_methods_of_the_stemmer_are_short_enough_to_be_compiled(spark):
+    """The JVM interprets methods of over 8,000 bytes."""
+    rows = spark.range(3).selectExpr("id as row_id", "cast(id as string) as title", "concat('happily', id) as token")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(stemmed(rows)._jdf.queryExecution().executedPlan()))
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_stems_of_odd_words(spark):
+    """y's of all kinds, other scripts, signs: what a mask of patterns alone gives."""
+    words = ["syzygy", "yayy", "sayys", "vyying", "don't", "étéed", "naïvely", "a\\bing", "Σyas", "toyed", "𝒜yies", "sky", "skies", "yyes", "ABILITIes"]
+    rows = spark.createDataFrame([(w,) for w in words], "token string")
+    db = pytest.importorskip("duckdb").connect()
+    db.execute("create table words as select unnest(?) as token", [words])
+    wanted = dict(db.sql(f"with {stem_sql('select token from words')} select * from stems").fetchall())
+    assert {r.token: r.stem for r in stemmed(rows).collect()} == wanted
